@@ -27,8 +27,9 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
 WIDTH_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 #: Code points looked at. Ideographs and Hangul syllables outside them are their own form.
 BLOCKS = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
-#: Longest runs of stable code points that count as plain (more would slow the pattern down).
-PLAIN_RUNS = 14
+#: Runs of stable code points that count as plain: the longest ones anywhere, and those of at least so many letters
+#: in the Latin, Greek and Cyrillic blocks (every further run slows the pattern down).
+PLAIN_RUNS, PLAIN_LETTERS = 14, 4
 
 
 def _alike(ch: str) -> str:
@@ -79,7 +80,8 @@ def plain_class() -> str:
                 start = None
     letters = [r for r in runs if r[0] < 0x100]
     longest = sorted((r for r in runs if r[0] >= 0x100), key=lambda r: r[0] - r[1])[: PLAIN_RUNS - len(letters)]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in sorted(letters + longest))
+    near = [r for r in runs if 0x100 <= r[0] < 0x460 and r[1] - r[0] + 1 >= PLAIN_LETTERS]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in sorted({*letters, *longest, *near}))
 
 
 @lru_cache(maxsize=1)
@@ -158,7 +160,8 @@ def consistent_form(docs: DataFrame, text: str = "text", out: str = "consistent"
     marks = "".join(ch for ch, to in forms().items() if ud.combining(ch) or to == "" and ud.category(ch) == "Cf")
     columns = [c for c in docs.columns if c != out]
     source = docs.select(*columns)
-    odd = F.coalesce(F.col(text).rlike(f"[^{plain}]"), F.lit(False))
+    # Most texts are ASCII, which two lengths tell; in the rest the cheap test stands before the class.
+    odd = F.coalesce((F.octet_length(text) != F.length(text)) & F.col(text).rlike(f"[^\\x00-\\x7f&&[^{plain}]]"), F.lit(False))
     as_is = source.where(~odd).withColumn(out, F.col(text))
     pieces = F.regexp_extract_all(text, F.lit(f"(?s)([{plain}]+|(?=[\\p{{M}}\\p{{Cf}}])[{_classes(marks)}]+|[^{plain}\\p{{M}}\\p{{Cf}}]+|.)"), F.lit(1))
     # The id is given before the generator, which would otherwise count its own rows.
