@@ -1,14 +1,28 @@
-"""Queries over ``documents``: leaked evaluation texts (8) and look-alike characters (9)."""
+"""Queries over ``documents``: containers (7), leaked evaluation texts (8) and look-alike characters (9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.llm.containers import fill_containers, fill_report
 from tessellar.llm.leaks import leaked_spans, leaks, removal_spans
 from tessellar.llm.visual_forms import CYRILLIC, GREEK, consistent_form, look_alike_pairs, look_classes
 from tessellar.sources.tables import table
 
+# Problem 7
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's containers for each capacity."""
+    return fill_containers(table(spark, sf, "documents"), table(spark, sf, "container_sizes"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = table(spark, sf, "container_sizes")
+    return fill_report(fill_containers(table(spark, sf, "documents"), sizes), sizes)
+
+
 # Problem 8
 
 
@@ -53,7 +67,7 @@ def sql_words(key: str, name: str) -> str:
     return f"SELECT {key} AS k, regexp_extract_all(lower({sql_form('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text <> ''"
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_removal_spans, p9_found, p9_consistent, p9_classes)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_found, p8_removal_spans, p9_found, p9_consistent, p9_classes)}
 
 SQL = {
     "p8_found": f"""
