@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import markup_queries, text_queries
+from tessellar.llm import code_queries, markup_queries, text_queries
 
-MODULES = (markup_queries, text_queries)
+MODULES = (markup_queries, code_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
