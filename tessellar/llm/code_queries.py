@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessellar.llm.documented import documented
+from tessellar.llm.parsing import fault_rates, file_faults
 from tessellar.sources.tables import table
 
 
@@ -17,5 +18,15 @@ def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return documented(table(spark, sf, "symbol_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return file_faults(table(spark, sf, "code_files")).where("fault IS NOT NULL").select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that do not parse, per repository and language."""
+    files = table(spark, sf, "code_files")
+    return fault_rates(files, file_faults(files))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_rates)}
 SQL: dict[str, str] = {}
