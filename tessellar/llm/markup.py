@@ -104,7 +104,7 @@ PIECES = [
 ]
 PATTERN = re.compile("|".join(f"(?P<{name}>{piece})" for name, piece in PIECES), re.MULTILINE)
 #: Nothing is parsed in texts without any of these.
-SIGNS = re.compile(r"[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?:[-:;]|\d+[.)])[ \t]|(?<!\S)h[1-6]\. |^-{3,}", re.MULTILINE)
+SIGNS = re.compile(r"[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?:[-:;]+|\d+[.)])[ \t]|(?<!\S)h[1-6]\. |^-{3,}", re.MULTILINE)
 MARKS = str.maketrans("", "", "«»")
 PUNCTUATION = re.compile(r"[.,;:!?…]")
 

@@ -866,12 +866,12 @@ class Rust(Cursor):
         if self.take("if"):
             self.expression()
         self.need("=>")
-        if self.text in BLOCK_STARTS and self.at("{"):
+        if self.at("{"):
+            # A block is the whole arm unless a call or field of it follows.
             place = self.i
             self.block()
             if self.take(",") or not self.at(".", "?"):
-                if self.at("}") or self.t[self.i - 1] == "," or not self.at("as", "==", "+", "-", "&&", "||"):
-                    return
+                return
             self.i = place
         self.expression()
         if not self.take(",") and not self.at("}"):

@@ -35,6 +35,8 @@ class Script(Cursor):
                 elif t in (")", "]", "}", "}$") and stack:
                     self.partner[stack.pop()] = i
         self.no_in = False
+        #: Inside a declaration without code, where constants have no value.
+        self.ambient = False
 
     def file(self) -> None:
         while self.kind != "e":
@@ -123,7 +125,7 @@ class Script(Cursor):
                     self.type()
             if self.take("="):
                 self.assignment()
-            elif not ambient and not (loop and self.at("of", "in")) and (word == "const" or pattern):
+            elif not ambient and not self.ambient and not (loop and self.at("of", "in")) and (word == "const" or pattern):
                 self.fail("=")
             if not self.take(","):
                 return
@@ -549,7 +551,9 @@ class Script(Cursor):
             elif self.at("function"):
                 self.s_function(ambient=True)
             else:
+                before, self.ambient = self.ambient, True
                 self.statement()
+                self.ambient = before
         else:
             self.i += 1
             if self.kind == "s":
