@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import training_data
+from tessellar.plans import link_queries, search_queries, training_data, work_queries
 
-MODULES = (training_data,)
+MODULES = (training_data, work_queries, link_queries, search_queries)
 #: The query of ``entry``.
-FLAGSHIP = "p4_found"
+FLAGSHIP = "search_bm25_topk"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
