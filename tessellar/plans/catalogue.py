@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import link_queries, search_queries, training_data, work_queries
+from tessellar.plans import code_queries, link_queries, search_queries, training_data, work_queries
 
-MODULES = (training_data, work_queries, link_queries, search_queries)
+MODULES = (training_data, work_queries, link_queries, search_queries, code_queries)
 #: The query of ``entry``.
 FLAGSHIP = "search_bm25_topk"
 
