@@ -478,7 +478,8 @@ def rust_candidates(path: str, segments: list[str]) -> list[tuple[str, int]]:
     else:
         base, rest = list(module), list(segments)
     out = []
-    for k in range(len(rest), -1, -1):
+    # A path that starts with a plain name has to name a module here, else it is one of another crate.
+    for k in range(len(rest), -1 if segments[0] in ("crate", "self", "super") else 0, -1):
         full = [*([root] if root else []), *base, *rest[:k]]
         left = len(rest) - k
         if k or base:
