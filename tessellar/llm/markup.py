@@ -54,7 +54,7 @@ PIECES = [
     ("pre", r"(?i:<pre\b[^<>]*>)(?P<pre_body>[\s\S]*?)(?i:</pre\s*>|\Z)"),
     ("nowiki", r"(?i:<nowiki>)(?P<nowiki_body>[\s\S]*?)(?i:</nowiki>|\Z)"),
     # What a reader never sees.
-    ("comment", r"<!--[\s\S]*?(?:-->|\Z)|(?:(?<=\s)|^)[^<>\n]*?-->"),
+    ("comment", r"<!--[\s\S]*?(?:-->|\Z)|(?<=\s)-->"),
     ("script", r"(?i:<(?P<script_name>script|style)\b[^<>]*>)[\s\S]*?(?i:</(?P=script_name)\s*>|\Z)"),
     ("doctype", r"<!(?i:doctype)\b[^<>]*>"),
     # Formulas.
@@ -62,7 +62,6 @@ PIECES = [
     ("math", r"\\\((?P<math_paren>[^\n]+?)(?:\\\)|\Z)|(?<![\w\\$])\$(?=[^\s$])(?P<math_dollar>(?:[^$\n]*?(?:\\[A-Za-z]|[_^]|[A-Za-z]\(|=)[^$\n]*?|[A-Za-z]))(?<=\S)\$(?![\w$])|(?<![\w\\$])\$(?P<math_cut>[A-Za-z]_\{[^$\n]*)\Z"),
     # Lines.
     ("table_rule", r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?|^[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$\n?|\|(?:[ \t]*:?-{3,}:?[ \t]*\|)+"),
-    ("setext", r"^(?P<setext_title>[^\s#>|=*+\-][^\n]*)\n[ \t]{0,3}(?P<setext_rule>={3,}|-{3,})[ \t]*$"),
     ("rule", r"^[ \t]{0,3}(?:-[ \t]*){3,}$|^[ \t]{0,3}(?:\*[ \t]*){3,}$|^[ \t]{0,3}(?:_[ \t]*){3,}$"),
     ("atx", r"^[ \t]{0,3}(?P<atx_level>#{1,6})[ \t]+(?P<atx_title>[^\n]*?)(?:[ \t]+#+)?[ \t]*$|(?<!\S)#{2,6}(?=[ \t]+\S)|(?<!\S)#(?=[ \t]+[A-Z«])"),
     ("wiki_heading", r"^[ \t]*(?P<wiki_level>={1,6})[ \t]*(?P<wiki_title>[^\s=](?:[^\n]*?[^\s=])?)[ \t]*(?P=wiki_level)[ \t]*$|(?<!\S)(?P<flat_level>={2,6})[ \t]+(?P<flat_title>«?\w(?:[^=.…!?\n]{0,60}?\S)?)[ \t]+(?P=flat_level)(?!\S)"),
@@ -88,7 +87,8 @@ PIECES = [
     ("magic", r"(?<!\w)__[A-Z]{3,}__(?!\w)|(?:--)?~{3,5}(?=\s|\Z)"),
     # HTML.
     ("tag", rf"(?i:<(?P<close>/?)(?P<tag_name>{TAGS})(?P<attributes>(?:\s+{ATTRIBUTE})*)\s*/?>|<(?P<cut_close>/)(?:{TAGS})\Z|<(?:{TAGS})\s+[a-z-]+=[^<>]*\Z|</(?:{TAGS})(?=[^\w>]))"),
-    ("cut_tag", rf"{VALUED}(?:\s+{VALUED})*\s*/?>"),
+    # The end of a tag whose start a snippet cuts, from its first = on.
+    ("cut_tag", rf"(?<=[\w:.-])=\s*(?:\"[^\"<>]*\"|'[^'<>]*')(?:\s+{VALUED})*\s*/?>"),
     ("entity", r"&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|(?P<entity_name>[A-Za-z][A-Za-z0-9]{1,31}));"),
     # LaTeX.
     ("command", r"(?<![A-Za-z0-9:\\])(?:~)?\\(?P<command_name>[A-Za-z]{2,}\*?)(?:\[[^\]\n]*\])?\{(?P<command_body>(?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)|(?<=[\w.,;:])(?:~)?\\(?P<glued_name>(?:cite|ref|footnote|label|eqref|textbf|emph|texttt|url|href|pageref|index)\*?)(?:\[[^\]\n]*\])?\{(?P<glued_body>(?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)"),
@@ -102,7 +102,12 @@ PIECES = [
     ("emphasis", r"(?<![\w*/\\])\*(?=[\w«\"'(])(?P<star_body>[^*\n]+?)(?<=[\w».!?,)\"'])\*(?![\w*/])|(?<![\w_\\])_(?=[^\s_])(?P<under_one>[^_\n]+?)(?<=[^\s_])_(?![\w_])|'{2,5}(?=[\w«\[])|(?<=[\w»\].!?])'{2,5}(?!\w)"),
     ("strike", r"~~(?=\S)(?P<strike_body>[^~\n]+?)(?<=\S)~~"),
 ]
-PATTERN = re.compile("|".join(f"(?P<{name}>{piece})" for name, piece in PIECES), re.MULTILINE)
+#: What any piece begins with: a sign, or blank space and a sign at the start of a line. Tested first, as most places are plain.
+BEGINNING = r"(?=[<&#*_`~\[\]{}|\\$=!'+>:;•^-]|(?<![^\n])[ \t]*(?:[-*+#|!>=;:•~`$\\]|\d+[.)]|h[1-6]\.)|h[1-6]\.)"
+PATTERN = re.compile(BEGINNING + "(?:" + "|".join(f"(?P<{name}>{piece})" for name, piece in PIECES) + ")", re.MULTILINE)
+#: A heading by the line under it; it is read as one by signs before it.
+SETEXT = re.compile(r"^([^\s#>|=*+\-][^\n]*)\n[ \t]{0,3}(={3,}|-{3,})[ \t]*$", re.MULTILINE)
+ATTRIBUTE_NAME = re.compile(r"[A-Za-z_:@][\w:.-]*$")
 #: Nothing is parsed in texts without any of these.
 SIGNS = re.compile(r"[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?:[-:;]+|\d+[.)])[ \t]|(?<!\S)h[1-6]\. |^-{3,}", re.MULTILINE)
 MARKS = str.maketrans("", "", "«»")
@@ -133,11 +138,11 @@ def is_piece(m: re.Match) -> bool:
     if kind == "wiki_heading" and m["flat_level"] and not m["wiki_level"]:
         # A comparison (if a == b) that occurs twice is no heading.
         return not re.search(r"\b(?:if|when|while|or)\s+\w+\s$", m.string[: m.start()]) and " if " not in m["flat_title"]
-    if kind == "comment" and not m[0].startswith("<!--"):
-        # The end of a comment that a snippet cuts: an arrow has a blank before its dashes.
-        return not re.search(r"(?:^|\s)-->", m[0]) or m.start() == 0
-    if kind == "setext":
-        return not re.match(r"[-=|\s]*$", m["setext_title"])
+    if kind == "comment" and m[0] == "-->":
+        # The end of a comment that a snippet cuts; no tag may begin before it.
+        return "<" not in m.string[: m.start()]
+    if kind == "cut_tag":
+        return ATTRIBUTE_NAME.search(m.string[: m.start()]) is not None
     return True
 
 
@@ -148,6 +153,8 @@ class Parser:
         self.nodes: list[tuple[str, str, str, int, int]] = []
         #: HTML elements that are open, outermost first.
         self.open: list[str] = []
+        if "\n=" in text or "\n-" in text or "\n " in text:
+            text = SETEXT.sub(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1], text)
         self.walk(text, ())
 
     def leaf(self, path: tuple[str, ...], kind: str, text: str, said: str | None = None) -> None:
@@ -169,7 +176,8 @@ class Parser:
             if m.end() == m.start() or not is_piece(m):
                 pos = max(m.start() + 1, pos + 1)
                 continue
-            self.plain(text[at : m.start()], path)
+            before = text[at : m.start()]
+            self.plain(ATTRIBUTE_NAME.sub("", before) if m.lastgroup == "cut_tag" else before, path)
             getattr(self, "on_" + m.lastgroup)(m, path)
             at = pos = m.end()
         self.plain(text[at:], path)
@@ -230,9 +238,6 @@ class Parser:
     def on_table_rule(self, m, path):
         self.leaf((*path, "markdown", "table", "rule"), "table", "", "")
 
-    def on_setext(self, m, path):
-        self.heading(1 if m["setext_rule"][0] == "=" else 2, m["setext_title"], path, "markdown")
-
     def on_rule(self, m, path):
         self.leaf((*path, "markdown", "rule"), "break", "\n", "")
 
