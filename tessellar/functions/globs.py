@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What is ignored where a workspace names nothing.
-DEFAULT_IGNORES = ("**/.git", "**/node_modules", "**/target", "**/dist", "**/.kdb")
+DEFAULT_IGNORES = ("**/.git", "**/node_modules", "**/target", "**/dist")
 
 
 def glob_regex(glob: str, separator: bool = True) -> str:

@@ -72,8 +72,12 @@ def relative_to(path: Column, root: str) -> Column:
     return F.regexp_replace(plain, "^" + "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in front), "")
 
 
-def workspace_ignores(root: str) -> list[str]:
-    """Globs of a local workspace: its .kdb/ignore (or the defaults), the ignore list of .kdb/config.toml, and .gitignore at its top."""
+#: Folder in which a workspace keeps its settings.
+SETTINGS = ".workspace"
+
+
+def workspace_ignores(root: str, settings: str = SETTINGS) -> list[str]:
+    """Globs of a local workspace: the ``ignore`` file of its settings folder (or the defaults), the ignore list of ``config.toml`` there, and .gitignore at its top."""
     import tomllib
 
     def lines(path: str) -> list[str] | None:
@@ -83,9 +87,9 @@ def workspace_ignores(root: str) -> list[str]:
         except OSError:
             return None
 
-    own = lines(".kdb/ignore")
+    own = lines(f"{settings}/ignore")
     globs = list(DEFAULT_IGNORES) if own is None else ignore_patterns(own)
-    config = lines(".kdb/config.toml")
+    config = lines(f"{settings}/config.toml")
     if config is not None:
         named = tomllib.loads("\n".join(config)).get("index", {}).get("ignore", [])
         if not isinstance(named, list) or not all(isinstance(x, str) for x in named):

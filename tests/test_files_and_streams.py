@@ -13,7 +13,7 @@ from tessellar.streaming import changes
 
 @pytest.fixture
 def tree(tmp_path):
-    for path, text in {"src/a.rs": "fn a() {}\n", "src/b/c.py": "def c():\n    pass\n", "docs/x.md": "# X\n", ".kdb/ignore": "node_modules\n", ".gitignore": "/out\n", "node_modules/y.js": "", "out/z.js": "", "e.txt": "é"}.items():
+    for path, text in {"src/a.rs": "fn a() {}\n", "src/b/c.py": "def c():\n    pass\n", "docs/x.md": "# X\n", ".workspace/ignore": "node_modules\n", ".gitignore": "/out\n", "node_modules/y.js": "", "out/z.js": "", "e.txt": "é"}.items():
         p = tmp_path / path
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
@@ -28,14 +28,14 @@ def test_read_and_tree(spark, tree):
     table = files.walk_files(spark, str(tree), ignores).cache()
     assert {r["path"]: r for r in table.where("path NOT RLIKE '(^|/)[.]'").collect()} == listed
     got = {r["path"]: r for r in table.collect()}
-    assert set(got) == {"src/a.rs", "src/b/c.py", "docs/x.md", ".kdb/ignore", ".gitignore", "e.txt", "bin.dat"}
+    assert set(got) == {"src/a.rs", "src/b/c.py", "docs/x.md", ".workspace/ignore", ".gitignore", "e.txt", "bin.dat"}
     assert got["e.txt"]["content"] == "é" and got["e.txt"]["size"] == 2 and got["bin.dat"]["content"] is None and got["e.txt"]["mtime"] > 0
     assert [r["path"] for r in files.expand(table, ["src", "e.txt"]).collect()] == ["e.txt", "src/a.rs", "src/b/c.py"]
     assert files.markdown_files(table).count() == 1 and files.code_files(table).count() == 2
     assert [r["path"] for r in files.tree(table).collect()] == ["docs", "docs/x.md", "src", "src/b", "src/b/c.py", "src/a.rs", "bin.dat", "e.txt"]
     assert [r["path"] for r in files.tree(table, depth=1, dirs_only=True).collect()] == ["docs", "src"]
     assert [r["path"] for r in files.tree(table, "src", pattern="*.py").collect()] == ["src/b", "src/b/c.py"]
-    assert [r["path"] for r in files.tree(table, ignore="src|*.md|bin.dat", hidden=True).collect()] == [".kdb", ".kdb/ignore", "docs", ".gitignore", "e.txt"]
+    assert [r["path"] for r in files.tree(table, ignore="src|*.md|bin.dat", hidden=True).collect()] == [".workspace", ".workspace/ignore", "docs", ".gitignore", "e.txt"]
 
 
 def test_headers():

@@ -52,8 +52,8 @@ def test_globs(spark):
 
 def test_links(spark):
     get = lambda f, cases: [tuple(x) if x else None for x in values(spark, [(c,) for c in cases], f("a"))]
-    assert get(links.markdown_target, ["b.md#x", "#x", "kdb://d/b.md", "a.txt", "https://x/y.md", "mailto:a@b", "", "<c d.md>", "#"]) == [("b.md", "x", False), (None, "x", False), ("d/b.md", None, True), None, None, None, None, ("c d.md", None, False), None]
-    assert get(links.wikilink_target, ["page|label", "page#part", "#part", "kdb://p", "", " | x"]) == [("page", None, False), ("page", "part", False), (None, "part", False), ("p", None, True), None, None]
+    assert get(links.markdown_target, ["b.md#x", "#x", "root://d/b.md", "a.txt", "https://x/y.md", "mailto:a@b", "", "<c d.md>", "#"]) == [("b.md", "x", False), (None, "x", False), ("d/b.md", None, True), None, None, None, None, ("c d.md", None, False), None]
+    assert get(links.wikilink_target, ["page|label", "page#part", "#part", "root://p", "", " | x"]) == [("page", None, False), ("page", "part", False), (None, "part", False), ("p", None, True), None, None]
     assert get(links.embed_target, ["#part", "p#q"]) == [None, ("p", "q", False)]
     assert values(spark, [("The `x` of [a](b.md) and [[p|q]] it's",)], links.heading_text("a")) == ["The x of a and q it’s"]
     assert values(spark, [("SOP-OPS-12 :: Do",), ("SOP12 :: no",)], F.regexp_extract("a", links.PROCEDURE_HEADING, 1)) == ["SOP-OPS-12", ""]
