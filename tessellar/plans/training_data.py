@@ -140,7 +140,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("ref_table", "ref_field", month.alias("month"), "reason").agg(F.countDistinct("ref_id").alias("orphans"))
 
 
-P6_FOUND = """
+P6_TABLES = """
 WITH slug AS (
   SELECT sym_id, any_value(file) AS file, any_value(line) AS line, any_value(indexed_at) AS indexed_at, any_value(s) AS base FROM (
     SELECT *, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9 \\t\\n\\f\\r_-]', '', 'g'), '[ \\t\\n\\f\\r_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS s
@@ -159,12 +159,25 @@ refs AS (
   SELECT DISTINCT 'tasks' AS ref_table, 'project_id' AS ref_field, id AS ref_id, 'project' AS d, project_id AS k, CAST(updated_at AS TIMESTAMPTZ) AS t FROM tasks WHERE project_id IS NOT NULL
   UNION SELECT DISTINCT 'tasks', 'cycle_id', id, 'cycle', cycle_id, CAST(updated_at AS TIMESTAMPTZ) FROM tasks WHERE cycle_id IS NOT NULL
   UNION SELECT DISTINCT 'projects', 'space_id', id, 'space', space_id, CAST(updated_at AS TIMESTAMPTZ) FROM projects WHERE space_id IS NOT NULL)
+"""
+
+P6_FOUND = P6_TABLES + """
 SELECT DISTINCT ref_table, ref_field, ref_id FROM refs r LEFT JOIN alive a ON a.d = r.d AND a.id = r.k WHERE a.id IS NULL OR a.since > r.t
 UNION
 SELECT DISTINCT 'refs_targets', 'anchor', ref_id FROM links l
 WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.file = l.file AND h.anchor = l.anchor AND h.indexed_at <= l.seen_at)
 """
 
+P6_REPORT = P6_TABLES + """
+, orphan AS (
+  SELECT ref_table, ref_field, ref_id, strftime(make_timestamp(epoch_us(r.t)), '%Y-%m') AS month, CASE WHEN a.id IS NULL THEN 'absent' ELSE 'later' END AS reason
+  FROM refs r LEFT JOIN alive a ON a.d = r.d AND a.id = r.k WHERE a.id IS NULL OR a.since > r.t
+  UNION
+  SELECT 'refs_targets', 'anchor', ref_id, strftime(seen_at, '%Y-%m'), CASE WHEN EXISTS (SELECT 1 FROM heads h WHERE h.file = l.file AND h.anchor = l.anchor) THEN 'later' ELSE 'absent' END
+  FROM links l WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.file = l.file AND h.anchor = l.anchor AND h.indexed_at <= l.seen_at))
+SELECT ref_table, ref_field, month, reason, count(DISTINCT ref_id) AS orphans FROM orphan GROUP BY ALL
+"""
+
 QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p5_found, p5_sync_counts, p6_found, p6_report)}
 
 SQL = {
@@ -182,4 +195,5 @@ SQL = {
     + " WHEN n.version IS NOT DISTINCT FROM k.version THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS records"
     + " FROM now n FULL JOIN known k ON k.entity = n.entity AND k.record_id = n.record_id GROUP BY ALL",
     "p6_found": P6_FOUND,
+    "p6_report": P6_REPORT,
 }
