@@ -102,6 +102,18 @@ def stale(maps: DataFrame, commits: DataFrame) -> DataFrame:
     return pins.join(found, "path", "left").select("path", "root", state.alias("state"), F.coalesce("distance", F.lit(0)).alias("distance"), "sample")
 
 
+def findings(maps: DataFrame, files: DataFrame, directories: DataFrame, commits: DataFrame | None = None, least: int = LEAST_FILES) -> DataFrame:
+    """(kind, path, detail): parse problems and dangling roots always, gaps, and what ``commits`` shows to be stale or cannot show."""
+    good = maps.where("problem IS NULL")
+    out = maps.where("problem IS NOT NULL").select(F.lit("problem").alias("kind"), "path", F.col("problem").alias("detail"))
+    out = out.unionByName(dangling(good, directories).select(F.lit("dangling").alias("kind"), "path", F.col("reason").alias("detail")))
+    out = out.unionByName(gaps(files, good.select("root"), least).select(F.lit("gap").alias("kind"), F.col("dir").alias("path"), F.format_string("%d files without a map", "files").alias("detail")))
+    if commits is not None:
+        state = stale(good, commits).where("state <> 'fresh'")
+        out = out.unionByName(state.select(F.col("state").alias("kind"), "path", F.format_string("%d commits since", "distance").alias("detail")))
+    return out
+
+
 def git_commits(repository: str) -> list[tuple[int, str, str]]:
     """(seq, id, path) of a local repository's history, oldest first, for ``stale``; empty where git cannot read it."""
     try:

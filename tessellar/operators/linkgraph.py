@@ -98,6 +98,12 @@ def enclosing(blocks: DataFrame, headings: DataFrame, marks: Column) -> DataFram
     return rows.withColumn("enclosing", last["mark"]).where("__block = 1").select("path", "line", "enclosing").distinct().join(blocks, ["path", "line"], "right")
 
 
+def selected_section(headings: DataFrame, selector: str) -> DataFrame:
+    """The first heading of every file whose anchor a selector (with or without #, in any case) names."""
+    wanted = selector.strip().removeprefix("#").strip().lower()
+    return headings.where(F.lower("anchor") == wanted).groupBy("path").agg(F.min_by(F.struct("pos", "title", "anchor", "level", "line"), "pos").alias("h")).select("path", "h.*")
+
+
 def context_lines(files: DataFrame, text: str, hits: DataFrame, context: int) -> DataFrame:
     """(path, hit_line, line, marked, text): the lines around every hit (path, line), cut at the ends of the file."""
     lines = files.select("path", F.split(text, "\n").alias("__lines"))

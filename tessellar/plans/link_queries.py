@@ -146,16 +146,33 @@ def longest_prefix_owner(spark, sf):
     return longest_prefix(code(spark, sf).select("path"), "path", mapped_roots(spark, sf), "root").select("path", "root")
 
 
+def maps(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.codemaps(table(spark, sf, "documents").where("kind = 'codemap'").select("path", "text"), "text")
+
+
+def codemap_listing(spark, sf):
+    return maps(spark, sf).select("path", "domain", "root", "owner")
+
+
+def codemap_findings(spark, sf):
+    """All findings about the maps, counted."""
+    dirs = code(spark, sf).select(F.explode(ancestors("path")).alias("dir")).distinct()
+    return coverage.findings(maps(spark, sf), code(spark, sf), dirs).groupBy("kind").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def section_by_selector(spark, sf):
+    return linkgraph.selected_section(headings(spark, sf), "#Known-Limits").select("path", "line", "level", "anchor")
+
+
 def dangling_roots(spark, sf):
     """Roots of codemap documents with what is wrong with them: the directory is outside or gone."""
-    maps = coverage.codemaps(table(spark, sf, "documents").where("kind = 'codemap'").select("path", "text"), "text")
     dirs = code(spark, sf).select(F.explode(ancestors("path")).alias("dir")).distinct()
-    return coverage.dangling(maps.where("problem IS NULL"), dirs).select("path", "domain", "root", "reason")
+    return coverage.dangling(maps(spark, sf).where("problem IS NULL"), dirs).select("path", "domain", "root", "reason")
 
 
 QUERIES = {f.__name__: f for f in (
     heading_slugs, anchor_dedup, link_resolve, link_broken, link_inbound, orphans, deps_outbound, doc_graph_issues, scoped_issues, section_bounds, heading_tree, link_reach, files_of_links, relative_links, outline,
-    public_symbols, symbols_named, classify_files, path_prefix, ancestor_counts, coverage_gaps, uncovered_files, longest_prefix_owner, dangling_roots,
+    public_symbols, symbols_named, classify_files, path_prefix, ancestor_counts, coverage_gaps, uncovered_files, longest_prefix_owner, codemap_listing, codemap_findings, section_by_selector, dangling_roots,
 )}
 
 SLUG = (
@@ -193,6 +210,9 @@ SQL = {
     "link_broken": f"{LH} SELECT regexp_extract(reason, '^target [a-z]+ not found') AS problem, source, count(*) AS links FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "link_inbound": f"{LH} SELECT target, count(*) AS links, count(DISTINCT source) AS sources FROM l WHERE target IN (SELECT path FROM f) GROUP BY target",
     "orphans": f"{LH} SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = f.path AND l.source <> f.path)",
+    "section_by_selector": f"WITH {H} SELECT path, line, level, anchor FROM h WHERE anchor = 'known-limits'",
+    "codemap_listing": "WITH m AS (SELECT path, CASE WHEN starts_with(text, '---' || chr(10)) AND contains(text, chr(10) || '---' || chr(10)) THEN string_split(text, chr(10) || '---' || chr(10))[1] END AS f FROM documents WHERE kind = 'codemap')"
+    " SELECT path, nullif(trim(regexp_extract(f, '\ndomain:([^\n]*)', 1)), '') AS domain, coalesce(nullif(trim(regexp_extract(f, '\nroot:([^\n]*)', 1)), ''), regexp_replace(path, '/[^/]*$', '')) AS root, nullif(trim(regexp_extract(f, '\nowner:([^\n]*)', 1)), '') AS owner FROM m",
     "deps_outbound": f"{LH} SELECT DISTINCT source, target, target_anchor FROM l",
     "doc_graph_issues": f"{LH} {ISSUES}",
     "scoped_issues": f"{LH} SELECT * FROM ({ISSUES}) WHERE starts_with(path, 'docs/alias/') OR starts_with(path, 'docs/cache/')",
