@@ -70,10 +70,10 @@ def document_frequencies(spark, sf):
 
 
 def manifests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A scan before mid-2024 as the manifest, and the latest scan of every file as what is there."""
-    files = table(spark, sf, "code_files").select("path", "mtime", "size", "scanned_at")
-    old = files.where("scanned_at < TIMESTAMP_NTZ '2024-09-01 00:00:00'").select("path", F.col("mtime") - F.col("mtime") % 7, "size").toDF("path", "mtime", "size")
-    return files.where("size % 11 <> 3").select("path", "mtime", "size"), old
+    """What is there (documents with a text, their time and size) and what was noted of them (the size that came with them)."""
+    rows = table(spark, sf, "documents")
+    now = rows.where("text IS NOT NULL").select("path", "mtime", F.length("text").cast("long").alias("size"))
+    return now, rows.where("n_chars IS NOT NULL").select("path", "mtime", F.col("n_chars").cast("long").alias("size"))
 
 
 def sync_diff(spark, sf):
@@ -112,8 +112,8 @@ def bm25(needles: list[str], filters: str = "true") -> str:
 LINES = "ls AS (SELECT path, string_split(text, chr(10)) AS t, range(1, len(string_split(text, chr(10))) + 1) AS ks FROM documents WHERE text IS NOT NULL)"
 
 M = (
-    "WITH now AS (SELECT path, max((mtime, size)) AS v FROM code_files WHERE size % 11 <> 3 GROUP BY path),"
-    " old AS (SELECT path, max((mtime - mtime % 7, size)) AS v FROM code_files WHERE scanned_at < TIMESTAMP '2024-09-01 00:00:00' GROUP BY path),"
+    "WITH now AS (SELECT path, max((mtime, CAST(length(text) AS BIGINT))) AS v FROM documents WHERE text IS NOT NULL GROUP BY path),"
+    " old AS (SELECT path, max((mtime, CAST(n_chars AS BIGINT))) AS v FROM documents WHERE n_chars IS NOT NULL GROUP BY path),"
     " a AS (SELECT coalesce(now.path, old.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'removed' WHEN now.v IS NOT DISTINCT FROM old.v THEN 'unchanged' ELSE 'updated' END AS action FROM now FULL JOIN old ON old.path = now.path)"
 )
 
