@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions.paths import ancestors, parent_dir, path_order
+from tessellar.operators.code import manifests
 from tessellar.session import cut
 
 #: Longer chains of re-exports are not followed.
@@ -21,46 +22,7 @@ def symbols(facts: DataFrame) -> DataFrame:
     return facts.select("path", F.explode("symbols").alias("s")).select("path", "s.*")
 
 
-def go_modules(files: DataFrame, content: str = "content") -> DataFrame:
-    """(module, dir) of every go.mod: a handful of rows."""
-    rows = files.where(F.col("path").rlike(r"(^|/)go\.mod$"))
-    return rows.select(F.regexp_extract(content, r"(?m)^\s*module\s+(\S+)", 1).alias("module"), parent_dir("path").alias("dir")).where("module <> ''")
-
-
-def packages(files: DataFrame, content: str = "content") -> DataFrame:
-    """(family, name, dir, entry) of the packages that manifests declare: package.json by name, Cargo.toml with dashes as underscores."""
-    json_rows = files.where(F.col("path").rlike(r"(^|/)package\.json$"))
-    entry = F.regexp_replace(F.coalesce(*[F.get_json_object(content, f"$.{k}") for k in ("types", "module", "main")], F.lit("")), r"^\./", "")
-    js = json_rows.select(F.lit("script").alias("family"), F.get_json_object(content, "$.name").alias("name"), parent_dir("path").alias("dir"), entry.alias("entry"))
-    cargo = files.where(F.col("path").rlike(r"(^|/)Cargo\.toml$"))
-    name = F.regexp_replace(F.regexp_extract(content, r'(?s)\[package\].*?\bname\s*=\s*"([^"]+)"', 1), "-", "_")
-    rust = cargo.select(F.lit("rust").alias("family"), name.alias("name"), parent_dir("path").alias("dir"), F.regexp_extract(content, r'(?s)\[lib\].*?\bpath\s*=\s*"([^"]+)"', 1).alias("entry"))
-    return js.unionByName(rust).where("name <> ''")
-
-
-def _package_targets(rows: DataFrame, files: DataFrame, content: str) -> DataFrame:
-    """(n, target, rest) of imports by package name: the longest package name in front, then the file its rest names."""
-    bare = rows.where("language <> 'go' AND language <> 'python'").select("n", F.when(F.col("language") == "rust", "rust").otherwise("script").alias("family"), F.regexp_replace("raw", "::", "/").alias("spec"))
-    fronts = bare.select("n", "family", "spec", F.explode(ancestors("spec", own=True)).alias("name")).where("name <> ''").join(packages(files, content), ["family", "name"])
-    best = fronts.groupBy("n", "family", "spec").agg(F.max(F.struct(F.length("name").alias("k"), "name", "dir", "entry")).alias("m")).select("n", "family", "spec", "m.*")
-    inner = F.filter(F.split(F.expr("substring(spec, length(name) + 2)"), "/"), lambda x: (x != "") & (x != "*"))
-    best = best.withColumn("inner", inner).withColumn("front", F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))))
-    # For Rust ever shorter module paths below src, for scripts the path with each extension.
-    shorter = F.transform(F.sequence(F.size("inner"), F.lit(0)), lambda k: F.struct(F.array_join(F.slice("inner", F.lit(1), k), "/").alias("at"), (F.size("inner") - k).alias("rest")))
-    rust = best.where("family = 'rust'").select("n", "front", "entry", F.posexplode(shorter).alias("rank", "s")).select(
-        "n", "rank", "s.rest", F.explode(F.when(F.col("s.at") == "", F.array(F.concat("front", "entry"), F.concat("front", F.lit("src/lib.rs")), F.concat("front", F.lit("src/main.rs")))).otherwise(F.array(F.concat("front", F.lit("src/"), "s.at", F.lit(".rs")), F.concat("front", F.lit("src/"), "s.at", F.lit("/mod.rs"))))).alias("file")
-    )
-    at = F.array_join("inner", "/")
-    endings = [F.lit(x) for x in ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")]
-    whole = F.array(F.concat("front", "entry"), *[F.concat("front", F.lit(x)) for x in ("src/index.ts", "src/index.tsx", "src/index.js", "index.ts", "index.tsx", "index.js")])
-    parts = F.concat(F.array(*[F.concat("front", at, e) for e in endings]), F.array(*[F.concat("front", F.lit("src/"), at, e) for e in endings]))
-    script = best.where("family = 'script'").select("n", F.posexplode(F.when(F.size("inner") == 0, whole).otherwise(parts)).alias("rank", "file")).select("n", "rank", F.lit(0).alias("rest"), "file")
-    there = files.select(F.lower("path").alias("low"), F.col("path").alias("target")).groupBy("low").agg(F.min("target").alias("target"))
-    found = rust.unionByName(script).withColumn("low", F.lower("file")).join(there, "low")
-    return found.groupBy("n").agg(F.min(F.struct("rank", "target", "rest")).alias("b")).select("n", F.col("b.target").alias("p_target"), F.col("b.rest").alias("p_rest"))
-
-
-def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(facts: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
     """Imports with ``target`` (null where outside): the first candidate path that exists, in any case of letters.
 
     An import that names a module is a namespace, one that goes on inside a module a name of it.
@@ -69,15 +31,19 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     rows = facts.select("path", "language", F.explode("imports").alias("i")).select("path", "language", F.monotonically_increasing_id().alias("n"), "i.*")
     rows = cut(rows)
     there = files.select(F.lower("path").alias("low"), F.col("path").alias("target")).groupBy("low").agg(F.min("target").alias("target"))
-    options = rows.where("language <> 'go'").select("n", F.posexplode("candidates").alias("rank", "c")).select("n", "rank", F.lower("c.path").alias("low"), F.col("c.rest").alias("rest"))
+    options = rows.where("language <> 'go'").select("n", F.posexplode("candidates").alias("rank", "c")).select("n", "rank", "c.rest", F.col("c.path").alias("file"))
+    # What manifests declare comes after what the path itself names.
+    outer = rows.where("language <> 'go' AND NOT startswith(raw, '.')")
+    for later, more in enumerate((manifests.package_candidates, manifests.alias_candidates, manifests.python_candidates), 1):
+        options = options.unionByName(more(outer, files, content).withColumn("rank", F.col("rank") + 1_000 * later))
+    options = options.select("n", "rank", "rest", F.lower("file").alias("low"))
     best = options.join(there, "low").groupBy("n").agg(F.min(F.struct("rank", "target", "rest")).alias("b")).select("n", "b.target", "b.rest")
-    plain = rows.where("language <> 'go'").join(best, "n", "left").join(_package_targets(rows.where("raw NOT LIKE '.%'"), files, "content"), "n", "left")
-    plain = plain.withColumn("rest", F.when(F.col("target").isNull(), F.col("p_rest")).otherwise(F.col("rest"))).withColumn("target", F.coalesce("target", "p_target"))
+    plain = rows.where("language <> 'go'").join(best, "n", "left")
     style = F.when((F.col("style") == "path") & (F.col("rest") == 0), "namespace").when(F.col("style") == "path", "name").otherwise(F.col("style"))
     plain = plain.withColumn("style", style).select("path", "local", "definition", "style", "passed_on", "line", "raw", "target")
     # Go: the module whose name starts the import path, the rest is a directory.
     spec = rows.where("language = 'go'").select("path", "local", "definition", "style", "passed_on", "line", "raw")
-    modules = go_modules(files)
+    modules = manifests.go_modules(files, content)
     # The module is a front of the import path: its fronts are joined by equality, the longest counts.
     fronts = spec.select("raw").distinct().select("raw", F.explode(ancestors("raw", own=True)).alias("module")).where("module <> ''")
     owner = fronts.join(modules, "module").groupBy("raw").agg(F.max(F.struct(F.length("module").alias("n"), "module", "dir")).alias("m")).select("raw", "m.module", "m.dir")

@@ -53,6 +53,9 @@ CASES = {
     "rust crate": ([("core/Cargo.toml", '[package]\nname = "my-core{k}"\n'), ("core/src/lib.rs", "pub mod a;\n"), ("core/src/a.rs", "pub fn foo() {}\n"), ("app/src/main.rs", "use my_core{k}::a::foo;\nfn main() {\n    foo();\n}\n")], "core/src/a.rs", "foo", 1),
     "ts workspace": ([("lib/package.json", '{"name": "@x/lib{k}", "main": "./src/index.ts"}'), ("lib/src/index.ts", "export function foo() {}\n"), ("app/m.ts", "import { foo } from '@x/lib{k}';\nfoo();\n")], "lib/src/index.ts", "foo", 1),
     "ts workspace part": ([("lib/package.json", '{"name": "@x/lib{k}"}'), ("lib/src/part.ts", "export function foo() {}\n"), ("app/m.ts", "import { foo } from '@x/lib{k}/part';\nfoo();\n")], "lib/src/part.ts", "foo", 1),
+    "ts alias path": ([("tsconfig.json", '{\n  // comment\n  "compilerOptions": {"baseUrl": ".", "paths": {"@app{k}/*": ["src/*"],}}\n}'), ("src/part.ts", "export function foo() {}\n"), ("web/m.ts", "import { foo } from '@app{k}/part';\nfoo();\n")], "src/part.ts", "foo", 1),
+    "py declared root": ([("proj/pyproject.toml", '[tool.setuptools.packages.find]\nwhere = ["lib"]\n'), ("proj/lib/pk{k}/mod.py", "def foo():\n    pass\n"), ("other/use.py", "from pk{k}.mod import foo\nfoo()\n")], "proj/lib/pk{k}/mod.py", "foo", 1),
+    "py poetry module": ([("proj/pyproject.toml", '[tool.poetry]\npackages = [{ include = "pk", from = "code" }]\n'), ("proj/code/pq{k}.py", "def foo():\n    pass\n"), ("other/use.py", "import pq{k}\npq{k}.foo()\n")], "proj/code/pq{k}.py", "foo", 1),
 }
 
 
@@ -62,7 +65,7 @@ def rows(spark):
     files = []
     for k, (program, *_) in enumerate(CASES.values()):
         # The module of each Go program lies in its own directory; its import paths stay as they are, so it gets its own name.
-        files += [(f"c{k}/{p}", c.replace("example.com/proj", f"example.com/proj{k}").replace("{k}", str(k))) for p, c in program]
+        files += [(f"c{k}/{p}".replace("{k}", str(k)), c.replace("example.com/proj", f"example.com/proj{k}").replace("{k}", str(k))) for p, c in program]
     table = spark.createDataFrame(files, "path string, content string")
     return {(r["target_file"], r["symbol"], r["source_file"], r["line"], r["col"]): r["is_definition"] for r in graph.references(table, facts.extract(table)).collect()}
 
@@ -70,7 +73,7 @@ def rows(spark):
 @pytest.mark.parametrize("k", range(len(CASES)), ids=list(CASES))
 def test_references(rows, k):
     _, target, symbol, uses = list(CASES.values())[k]
-    hits = {key: d for key, d in rows.items() if key[:2] == (f"c{k}/{target}", symbol)}
+    hits = {key: d for key, d in rows.items() if key[:2] == (f"c{k}/{target}".replace("{k}", str(k)), symbol)}
     assert (sum(hits.values()), sum(not d for d in hits.values())) == (1, uses), hits
 
 
