@@ -106,7 +106,7 @@ def file_faults(files: DataFrame, key: str = "file_id", chunk: int = CHUNK) -> D
     chunk by chunk in parallel first, and read by the grammar only if they balance.
     """
     kind = dict(files.dtypes)[key]
-    some = files.where(F.col(key).isNotNull() & F.col("path").isNotNull()).select(F.col(key).alias("file_id"), "path", F.coalesce("source", F.lit("")).alias("source")).distinct()
+    some = files.where(F.col(key).isNotNull() & F.col("path").isNotNull()).select(F.col(key).alias("file_id"), "path", F.coalesce("source", F.lit("")).alias("source"))
     schema = FAULTS.format(kind=kind)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,10 +142,11 @@ def file_faults(files: DataFrame, key: str = "file_id", chunk: int = CHUNK) -> D
         return pd.DataFrame({"file_id": [frame["file_id"].iloc[0]], "language": [language], "fault": [fault]}, dtype=object)
 
     small = some.where(F.length("source") <= chunk).mapInPandas(whole, schema)
-    pieces = some.where(F.length("source") > chunk).mapInPandas(split, f"file_id {kind}, path string, language string, chunk int, text string").repartition("file_id", "chunk")
+    pieces = some.where(F.length("source") > chunk).distinct().mapInPandas(split, f"file_id {kind}, path string, language string, chunk int, text string").repartition("file_id", "chunk")
     summed = pieces.mapInPandas(sum_up, f"file_id {kind}, path string, language string, chunk int, text string, summary binary")
     large = summed.groupBy("file_id", "path").applyInPandas(reduce, schema)
-    return small.unionByName(large).withColumnRenamed("file_id", key)
+    # Re-sent rows are told apart by their small results; the sources stay where they are.
+    return small.unionByName(large).distinct().withColumnRenamed("file_id", key)
 
 
 def fault_rates(files: DataFrame, faults: DataFrame, key: str = "file_id") -> DataFrame:
