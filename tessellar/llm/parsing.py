@@ -86,8 +86,9 @@ def fault_of(source: str, language: str, size: int = CHUNK) -> str | None:
     chunks = chunks_of(text, size)
     try:
         # Strings nested in Python's formatted strings may use their quotes again, so there only the parser decides.
-        if language != "python":
-            fold(chunks, [summarise(c, language) for c in chunks] if len(chunks) > 1 else [{}] * len(chunks), language)
+        # The only chunk of a file starts in a known mode; its one state is followed while its tokens are read.
+        if language != "python" and len(chunks) > 1:
+            fold(chunks, [summarise(c, language) for c in chunks], language)
         read_grammar(text, language)
     except Fault as e:
         return str(e)
