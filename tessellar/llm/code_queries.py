@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm.documented import documented
+from tessellar.llm.documented import documented, documented_rows
 from tessellar.llm.parsing import fault_rates, file_faults
 from tessellar.sources.tables import table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return documented(table(spark, sf, "symbol_rows")).select("sym_id").distinct()
+    return documented_rows(table(spark, sf, "symbol_rows")).select("sym_id").distinct()
 
 
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
