@@ -9,6 +9,7 @@ of the items are searched backwards at once, the hits located and merged to span
 from __future__ import annotations
 
 import re
+import unicodedata as ud
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.visual_forms import consistent
+from tessellar.llm.visual_forms import CYRILLIC, GREEK, consistent
 
 #: Consecutive words that make a leak.
 PHRASE_WORDS = 12
@@ -31,9 +32,19 @@ WORD = re.compile(r"[^\W_]+")
 SPANS = "key long, item long, first_word long, last_word long"
 
 
+#: Small letters whose capital, or they themselves, are drawn like a Latin letter, and the small form of that letter:
+#: without regard to case a word has no capitals that could tell its script.
+CASELESS = str.maketrans({k.casefold(): v.casefold() for k, v in (CYRILLIC | GREEK).items()})
+OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text in consistent form without regard to case: runs of letters and digits."""
-    return WORD.findall(consistent(text).casefold())
+    folded = consistent(text).casefold()
+    if not folded.isascii():
+        # Accented letters are looked up by their base; casefolding may take composed letters apart.
+        folded = ud.normalize("NFC", ud.normalize("NFD", folded).translate(CASELESS) if OTHER_SCRIPT.search(folded) else folded)
+    return WORD.findall(folded)
 
 
 class WaveletMatrix:

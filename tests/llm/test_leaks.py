@@ -75,6 +75,17 @@ def test_whole_form_counts(spark):
     assert [tuple(r) for r in got] == [(1, 9)]
 
 
+def test_case_of_other_scripts_is_ignored(spark):
+    russian = "Все они шли тем же путём, когда ёж ел тот снег у моста и там ВСЁ кончилось"
+    greek = "Το νερό και τα τείχη του κάστρου τα είδε ο ταξιδιώτης από τη μικρή πύλη"
+    mixed = russian.replace("тем", "ТЕМ").replace("тот", "Тот").replace("Все", "все")
+    docs = [(1, russian.upper()), (2, greek.upper()), (3, mixed), (4, russian.lower()), (5, greek.replace("τα", "ΤΑ")), (6, russian.replace("шли", "ехали").replace("кончилось", ""))]
+    items = [(8, russian), (9, greek)]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 8), (2, 9), (3, 8), (4, 8), (5, 9), (6, 8)}
+    assert words_of("ВСЕ ΤΆ Ёж") == words_of("все τά ёж")
+
+
 def test_empty_tables_and_spans(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert leaks(docs, items).count() == 0
