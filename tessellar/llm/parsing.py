@@ -21,6 +21,8 @@ from tessellar.llm.syntax.lexing import CODE, Fault, Summary, finish, follow, su
 
 # The language of each extension.
 LANGUAGES = {"rs": "rust", "py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx"}
+#: Languages whose modes at line ends are all in the maps of the lexer, so that a fold that fails is a fault of the file.
+BALANCED = ("rust", "go")
 #: Characters of a chunk; files up to this size are one chunk.
 CHUNK = 65_536
 
@@ -73,11 +75,19 @@ def read_grammar(text: str, language: str) -> None:
 
 
 def fold(chunks: list[str], summaries: list[dict[str, Summary]], language: str) -> None:
-    """Folds the summaries of a file's chunks; raises Fault where a bracket or literal does not balance."""
+    """Folds the summaries of a file's chunks; raises Fault where a bracket or literal does not balance.
+
+    A border inside a script's element, template or string hides what only the whole text tells, so
+    there a fault of the fold decides nothing and the grammar does.
+    """
     mode, stack = CODE, []
-    for chunk, summary in zip(chunks, summaries):
-        mode, stack = follow(mode, stack, chunk, language, summary)
-    finish(mode, stack)
+    try:
+        for chunk, summary in zip(chunks, summaries):
+            mode, stack = follow(mode, stack, chunk, language, summary)
+        finish(mode, stack)
+    except Fault:
+        if language in BALANCED:
+            raise
 
 
 def fault_of(source: str, language: str, size: int = CHUNK) -> str | None:
@@ -104,7 +114,8 @@ def file_faults(files: DataFrame, key: str = "file_id", chunk: int = CHUNK) -> D
     ``files``: key, path, source. The language is that of the path's extension. A null source is an
     empty file, and empty files parse. Re-sent rows count once; files in other languages and null
     keys or paths give no row; other columns are not read. Files larger than a chunk are summed up
-    chunk by chunk in parallel first, and read by the grammar only if they balance.
+    chunk by chunk in parallel first; Rust and Go ones are read by the grammar only if they balance,
+    and whether any other file parses the grammar alone decides, whatever the chunks.
     """
     kind = dict(files.dtypes)[key]
     some = files.where(F.col(key).isNotNull() & F.col("path").isNotNull()).select(F.col(key).alias("file_id"), "path", F.coalesce("source", F.lit("")).alias("source"))

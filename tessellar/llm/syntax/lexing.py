@@ -425,7 +425,8 @@ def follow(mode: str, stack: list[str], chunk: str, language: str, summaries: di
     known = summaries.get(mode)
     # Contexts that the chunk closes or starts in decide how its text is read.
     context = any(s in ("`", "${") or s.startswith("<") for s in stack[len(stack) - len(known.closed) if known else 0 :])
-    inside = bool(stack) and (stack[-1] == "`" or stack[-1].startswith("<"))
+    below = stack[: len(stack) - len(known.closed)] if known else stack
+    inside = any(s[-1] == "`" or s[-1].startswith("<") for s in (stack, below) if s)
     if known is None or known.fault or context or inside:
         lexer, options, _ = LEXERS[language]
         state = State(mode=mode, stack=list(stack))

@@ -89,3 +89,35 @@ def test_files(spark):
     rates = {(r["repo"], r["language"]): (r["files"], r["invalid"], r["share"]) for r in fault_rates(files, file_faults(files)).collect()}
     assert rates == {("r", "rust"): (2, 1, 0.5), ("s", "go"): (2, 0, 0.0), ("s", "rust"): (2, 1, 0.5)}
     assert file_faults(files.limit(0)).count() == 0
+
+
+def test_chunk_borders_decide_nothing():
+    icon = """export const Icon = () => (
+  <svg
+    d="M0 0
+L10 10
+Z <"
+  >
+    <b>{`x
+${[1,
+2].map((n) => <i key={n}>it's</i>)}`}</b>
+  </svg>
+);
+"""
+    long = """const a = "one \\
+ two } \\
+ three";
+const r = [1
+/ 2, 3 / 4];
+function f() {
+  return `a
+${{ b: `c
+}` }.b}`;
+}
+"""
+    for text, language in ((icon, "javascript"), (icon, "tsx"), (long, "javascript"), (long, "typescript"), (long, "tsx")):
+        for broken in (text, text + "}\n", text.replace("(", "((", 1), text + "`\n"):
+            whole = fault_of(broken, language) is None
+            assert whole == (broken == text), (language, broken, fault_of(broken, language))
+            for size in (1, 5, 12, 30, 60):
+                assert (fault_of(broken, language, size) is None) == whole, (language, size, broken)
