@@ -3,11 +3,13 @@
 Every target row stores the key and the version of the source row it came from. A run anti-joins
 the source against those pairs, so what a failed run left unpublished is simply still pending and
 what was published never comes twice. A run writes a complete new version of the target beside the
-old one and publishes it with one rename of a small marker file, the only step readers can see.
+old one and publishes it by a small numbered marker file, made exclusively; readers see it with its
+token in it and not before.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -43,7 +45,12 @@ def latest_entries(state: DataFrame, runs: DataFrame, keys: list[str], version:
 
 
 class VersionedTarget:
-    """A folder of complete target versions ``v=<n>-<token>`` with a marker ``_current-<n>-<token>`` for each published one."""
+    """A folder of complete target versions ``v=<n>-<token>`` with a marker ``_current-<n>`` that holds the token for each published one.
+
+    A run that dies leaves at most a version without a marker or a marker without its token. Neither
+    is published, and the next run takes the next number. Markers of before (``_current-<n>-<token>``)
+    are read as well.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -51,20 +58,36 @@ class VersionedTarget:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _published(self) -> tuple[int, str | None]:
+    def _published(self) -> tuple[int, str | None, int]:
+        """Number and token of the latest published version, and the highest number taken."""
         best: tuple[int, str | None] = (0, None)
+        taken = 0
         root = self._path(self.folder)
         if self._fs.exists(root):
             for status in self._fs.listStatus(root):
                 name = status.getPath().getName()
                 if name.startswith("_current-"):
                     number, _, token = name[len("_current-") :].partition("-")
-                    best = max(best, (int(number), token), key=lambda x: x[0])
-        return best
+                    taken = max(taken, int(number))
+                    token = token or self._token(status)
+                    if token:
+                        best = max(best, (int(number), token), key=lambda x: x[0])
+        return *best, taken
+
+    def _token(self, status) -> str | None:
+        """The token a marker holds; None if its run died before it was whole."""
+        if not status.getLen():
+            return None
+        stream = self._fs.open(status.getPath())
+        try:
+            text = stream.readLine() or ""
+        finally:
+            stream.close()
+        return text if re.fullmatch("[0-9a-f]{32}", text) else None
 
     def read(self) -> DataFrame | None:
         """The latest published version; None before the first."""
-        number, token = self._published()
+        number, token, _ = self._published()
         return None if token is None else self.spark.read.parquet(f"{self.folder}/v={number}-{token}")
 
     def run(self, source: DataFrame, keys: list[str], version: str, process: Callable[[DataFrame], DataFrame], before_publish: Callable[[], None] | None = None) -> int:
@@ -74,8 +97,8 @@ class VersionedTarget:
         earlier ones. Raises, with nothing published, if another run published meanwhile.
         ``before_publish`` is called between writing and publishing (a failure there loses nothing).
         """
-        number, token = self._published()
-        old = self.read()
+        number, token, taken = self._published()
+        old = None if token is None else self.spark.read.parquet(f"{self.folder}/v={number}-{token}")
         key = F.struct(*[F.col(k) for k in keys]).alias(KEY)
         stamped = source.select("*", key, F.col(version).alias(VERSION))
         if old is None:
@@ -87,19 +110,21 @@ class VersionedTarget:
         if old is not None:
             touched = todo.select(F.col(KEY).alias("__key")).distinct()
             fresh = fresh.unionByName(old.join(touched, F.col(KEY) == F.col("__key"), "left_anti"), allowMissingColumns=True)
-        mine = f"{number + 1}-{uuid.uuid4().hex}"
-        fresh.write.parquet(f"{self.folder}/v={mine}")
+        token = uuid.uuid4().hex
+        fresh.write.parquet(f"{self.folder}/v={taken + 1}-{token}")
         count = todo.count()
         if before_publish:
             before_publish()
-        self._publish(number + 1, mine)
+        self._publish(taken + 1, token)
         return count
 
-    def _publish(self, number: int, mine: str) -> None:
-        # The lock is made exclusively, so of two runs that started from one version only one publishes.
-        lock = self._path(f"{self.folder}/_lock-{number}")
-        self._fs.create(lock, False).close()
-        marker = self._path(f"{self.folder}/_writing-{mine}")
-        self._fs.create(marker, False).close()
-        if not self._fs.rename(marker, self._path(f"{self.folder}/_current-{mine}")):
-            raise RuntimeError(f"version {mine} could not be published")
+    def _publish(self, number: int, token: str) -> None:
+        # The marker is made exclusively, so of two runs that started from one version only one publishes.
+        marker = self._fs.create(self._path(f"{self.folder}/_current-{number}"), False)
+        try:
+            self._write(marker, token)
+        finally:
+            marker.close()
+
+    def _write(self, marker, token: str) -> None:
+        marker.writeBytes(token + "\n")

@@ -61,3 +61,35 @@ def test_target(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         target.run(third, ["id"], "updated", process, before_publish=lambda: other.run(third, ["id"], "updated", process))
     assert {r["id"] for r in other.read().collect()} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("step", ["before_publish", "_publish", "_write"])
+def test_a_run_lost_at_any_step_blocks_none(spark, tmp_path, monkeypatch, step):
+    folder = str(tmp_path / "target")
+    rows = spark.createDataFrame([(1, "u1"), (2, "u1")], "id long, updated string")
+    more = rows.unionByName(spark.createDataFrame([(3, "u1")], rows.schema))
+    target = VersionedTarget(spark, folder)
+    assert target.run(rows, ["id"], "updated", lambda df: df) == 2
+
+    def lost(*_):
+        raise OSError("lost")
+
+    for _ in range(2):
+        with monkeypatch.context() as m:
+            if step != "before_publish":
+                m.setattr(VersionedTarget, step, lost)
+            with pytest.raises(OSError, match="lost"):
+                target.run(more, ["id"], "updated", lambda df: df, before_publish=lost if step == "before_publish" else None)
+        assert {r["id"] for r in target.read().collect()} == {1, 2}
+    assert target.run(more, ["id"], "updated", lambda df: df) == 1
+    assert {r["id"] for r in target.read().collect()} == {1, 2, 3}
+    assert target.run(more, ["id"], "updated", lambda df: df) == 0
+
+
+def test_a_lock_left_behind_blocks_none(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u1")], "id long, updated string")
+    (tmp_path / "target").mkdir()
+    (tmp_path / "target" / "_lock-1").touch()
+    target = VersionedTarget(spark, str(tmp_path / "target"))
+    assert target.run(rows, ["id"], "updated", lambda df: df) == 1
+    assert target.read().count() == 1
