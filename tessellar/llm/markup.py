@@ -44,6 +44,11 @@ TAGS = "|".join(sorted(HTML_TAGS.split(), key=len, reverse=True))
 ATTRIBUTE = r"""[A-Za-z_:@][\w:.-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 VALUED = r"""[A-Za-z_:@][\w:.-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)"""
 
+#: Where the start of a piece may have been cut off: at the start of a text and after a cut sign.
+FRONT = r"(?:\A|(?<=…)|(?<=…[ ]))"
+#: Entities that are told by a part of their name, and ends of such names that are words by themselves.
+COMMON_ENTITIES = "nbsp amp quot apos lt gt mdash ndash hellip laquo raquo lsquo rsquo ldquo rdquo rarr larr".split()
+ENDS_IN_WORDS = ("ash", "dash", "lip", "quo", "arr", "squo", "dquo", "sh", "ip", "uo", "rr", "ot", "os")
 # One alternative for each piece of markup, block forms first; (?m): ^ and $ are those of lines.
 PIECES = [
     # Code that hides all other markup in it.
@@ -89,7 +94,7 @@ PIECES = [
     ("tag", rf"(?i:<(?P<close>/?)(?P<tag_name>{TAGS})(?P<attributes>(?:\s+{ATTRIBUTE})*)\s*/?>|<(?P<cut_close>/)(?:{TAGS})\Z|<(?:{TAGS})\s+[a-z-]+=[^<>]*\Z|</(?:{TAGS})(?=[^\w>]))"),
     # The end of a tag whose start a snippet cuts, from its first = on.
     ("cut_tag", rf"(?<=[\w:.-])=\s*(?:\"[^\"<>]*\"|'[^'<>]*')(?:\s+{VALUED})*\s*/?>"),
-    ("entity", r"&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|(?P<entity_name>[A-Za-z][A-Za-z0-9]{1,31}));"),
+    ("entity", r"&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|(?P<entity_name>[A-Za-z][A-Za-z0-9]{1,31}));|&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|(?P<entity_start>[a-z]{2,7}))(?=[ ]?…|\s*\Z)|" + FRONT + r"(?:\#(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6})|(?P<entity_end>[a-z]{2,7}));"),
     # LaTeX.
     ("command", r"(?<![A-Za-z0-9:\\])(?:~)?\\(?P<command_name>[A-Za-z]{2,}\*?)(?:\[[^\]\n]*\])?\{(?P<command_body>(?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)|(?<=[\w.,;:])(?:~)?\\(?P<glued_name>(?:cite|ref|footnote|label|eqref|textbf|emph|texttt|url|href|pageref|index)\*?)(?:\[[^\]\n]*\])?\{(?P<glued_body>(?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)"),
     ("latex_item", r"(?<![\w:\\])\\item\b[ \t]*(?:\[[^\]\n]*\])?[ \t]*"),
@@ -99,17 +104,17 @@ PIECES = [
     # Emphasis.
     ("inline_code", r"(?<!`)(?P<ticks>`{1,2})(?!`)(?P<inline_code_body>[^\n]+?)(?<!`)(?P=ticks)(?!`)|(?<![\w`])`(?=[\w«])(?P<code_cut>[^`\n]*)\Z|(?<=[\w»])`(?!\w)"),
     ("strong", r"(?<![\w*])(?P<stars>\*{2,3})(?=[^\s*])(?P<strong_body>[^*\n]+?)(?<=\S)(?P=stars)(?![\w*])|(?<![\w_])__(?=[^\s_])(?P<under_body>[^\n]+?)(?<=[^\s_])__(?![\w_])|(?<!\S)\*{2,3}(?=[\w«])(?P<strong_cut>[^*\n]*)\Z|(?<=[\w»])\*{2,3}(?=[\s.,;:!?]|\Z)"),
-    ("emphasis", r"(?<![\w*/\\])\*(?=[\w«\"'(])(?P<star_body>[^*\n]+?)(?<=[\w».!?,)\"'])\*(?![\w*/])|(?<![\w_\\])_(?=[^\s_])(?P<under_one>[^_\n]+?)(?<=[^\s_])_(?![\w_])|'{2,5}(?=[\w«\[])|(?<=[\w»\].!?])'{2,5}(?!\w)"),
-    ("strike", r"~~(?=\S)(?P<strike_body>[^~\n]+?)(?<=\S)~~"),
+    ("emphasis", r"(?<![\w*/\\])\*(?=[\w«\"'(])(?P<star_body>[^*\n]+?)(?<=[\w».!?,)\"'])\*(?![\w*/])|(?<!\S)\*(?=[\w«])(?!(?:args|kwargs|self|ptr|p)\b|\w*[._/()=\[\]]\w)(?P<star_cut>[^*\n…]*?)(?=[ ]?…|\s*\Z)|(?P<star_end>(?<=[\w»][\w»][\w»])\*)(?=[\s.,;:!?…]|\Z)|(?<![\w_\\])_(?=[^\s_])(?P<under_one>[^_\n]+?)(?<=[^\s_])_(?![\w_])|(?<!\S)_(?=[\w«])(?P<under_cut>[^_\n…]*?)(?=[ ]?…)|(?P<under_end>(?<=[\w»][\w»][\w»])_)(?=[\s.,;:!?…]|\Z)|'{2,5}(?=[\w«\[])|(?<=[\w»\].!?])'{2,5}(?!\w)"),
+    ("strike", r"~~(?=\S)(?P<strike_body>[^~\n]+?)(?<=\S)~~|(?<!\S)~~(?=[\w«])(?P<strike_cut>[^~\n…]*?)(?=[ ]?…|\s*\Z)|(?P<strike_end>(?<=[\w».!?])~~)(?=[\s.,;:!?…]|\Z)"),
 ]
 #: What any piece begins with: a sign, or blank space and a sign at the start of a line. Tested first, as most places are plain.
-BEGINNING = r"(?=[<&#*_`~\[\]{}|\\$=!'+>:;•^-]|(?<![^\n])[ \t]*(?:[-*+#|!>=;:•~`$\\]|\d+[.)]|h[1-6]\.)|h[1-6]\.)"
+BEGINNING = r"(?=" + FRONT + r"[a-z]{2,7};|[<&#*_`~\[\]{}|\\$=!'+>:;•^-]|(?<![^\n])[ \t]*(?:[-*+#|!>=;:•~`$\\]|\d+[.)]|h[1-6]\.)|h[1-6]\.)"
 PATTERN = re.compile(BEGINNING + "(?:" + "|".join(f"(?P<{name}>{piece})" for name, piece in PIECES) + ")", re.MULTILINE)
 #: A heading by the line under it; it is read as one by signs before it.
 SETEXT = re.compile(r"^([^\s#>|=*+\-][^\n]*)\n[ \t]{0,3}(={3,}|-{3,})[ \t]*$", re.MULTILINE)
 ATTRIBUTE_NAME = re.compile(r"[A-Za-z_:@][\w:.-]*$")
 #: Nothing is parsed in texts without any of these.
-SIGNS = re.compile(r"[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?:[-:;]+|\d+[.)])[ \t]|(?<!\S)h[1-6]\. |^-{3,}", re.MULTILINE)
+SIGNS = re.compile(FRONT + r"[a-z]{2,7};|[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?:[-:;]+|\d+[.)])[ \t]|(?<!\S)h[1-6]\. |^-{3,}", re.MULTILINE)
 MARKS = str.maketrans("", "", "«»")
 PUNCTUATION = re.compile(r"[.,;:!?…]")
 
@@ -134,7 +139,18 @@ def is_piece(m: re.Match) -> bool:
     if kind == "tag":
         return is_tag(m)
     if kind == "entity":
+        if m["entity_start"] or m["entity_end"]:
+            return any(e.startswith(m["entity_start"]) if m["entity_start"] else e.endswith(m["entity_end"]) for e in COMMON_ENTITIES) and m["entity_end"] not in ENDS_IN_WORDS
         return m["entity_name"] is None or m["entity_name"] + ";" in html5
+    if kind in ("emphasis", "strike"):
+        # An end without its start counts where the start may have been cut off: no such sign stands before it.
+        sign = next((s for s, name in (("*", "star_end"), ("_", "under_end"), ("~~", "strike_end")) if m[name]), None)
+        if sign:
+            before = m.string[: m.start()]
+            shown = "…" in before
+            before = before.rpartition("…")[2]
+            # A bare name_ or call* in an uncut text is a name or a pattern.
+            return sign not in before and "\n" not in before and (shown or sign == "~~")
     if kind == "wiki_heading" and m["flat_level"] and not m["wiki_level"]:
         # A comparison (if a == b) that occurs twice is no heading.
         return not re.search(r"\b(?:if|when|while|or)\s+\w+\s$", m.string[: m.start()]) and " if " not in m["flat_title"]
@@ -408,11 +424,11 @@ class Parser:
         self.inner(m["strong_body"] or m["under_body"] or m["strong_cut"], path, "markdown", "strong")
 
     def on_emphasis(self, m, path):
-        body = m["star_body"] or m["under_one"]
-        self.inner(body, path, "markdown" if body else "wiki", "emphasis")
+        body = m["star_body"] or m["under_one"] or m["star_cut"] or m["under_cut"]
+        self.inner(body, path, "wiki" if m[0][0] == "'" else "markdown", "emphasis")
 
     def on_strike(self, m, path):
-        self.inner(m["strike_body"], path, "markdown", "strike")
+        self.inner(m["strike_body"] or m["strike_cut"], path, "markdown", "strike")
 
 
 def parse(text: str | None) -> list[tuple[str, str, str, int, int]]:

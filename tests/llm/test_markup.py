@@ -32,6 +32,26 @@ def test_plain(text):
     assert [n[0] for n in parse(text)] == (["text"] if text else [])
 
 
+CUT = [
+    ("one *emphatic start", "emphasis"), ("one *«emphatic» start … ", "emphasis"), ("one _emphatic start …", "emphasis"), ("… emphatic end* and more", "emphasis"), (" … the «emphatic» end_ and more", "emphasis"),
+    ("now ~~gone", "strike"), ("now ~~«gone» for …", "strike"), ("… long gone~~ and more", "strike"), ("gone~~ and more", "strike"),
+    ("more&nbs", "entity"), ("more &am …", "entity"), ("more &#82", "entity"), ("nbsp;more", "entity"), ("… bsp; more", "entity"), ("#8212; more", "entity"), ("…amp; more", "entity"),
+]
+UNCUT = ["copy; then paste", "ash; then dust", "the R&D", "Sizes: 83 KB &", "Q&A …", "call _flush before exit", "passes *args on", "the A* search", "matches foo* and bar", "a trailing_ name", "keeps *.md files", "set *p to 0", "9 * 4 …"]
+
+
+@pytest.mark.parametrize(("text", "kind"), CUT)
+def test_pieces_cut_off_at_an_edge(text, kind):
+    nodes = parse(text)
+    assert [n[1] for n in nodes if n[0] != "text"][:1] and any(kind in n[0] for n in nodes), nodes
+    assert not any(sign in n[2] for n in nodes for sign in ("*", "~~", "&", "_", ";")) or kind == "entity"
+
+
+@pytest.mark.parametrize("text", UNCUT)
+def test_plain_signs_at_an_edge(text):
+    assert [n[0] for n in parse(text)] == ["text"]
+
+
 CLEAN = {
     "<h2>Title</h2>\n<p>One <b>bold</b> &amp; more.</p>": "## Title\n\nOne bold & more.",
     "- a\n- b **c**": "- a\n- b c",
