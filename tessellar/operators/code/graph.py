@@ -6,6 +6,8 @@ joins until nothing moves (a chain of re-exports of length n takes n rounds), li
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from tessellar.functions.paths import ancestors, parent_dir, path_order
 from tessellar.operators.code import manifests
 from tessellar.session import cut
 
-#: Longer chains of re-exports are not followed.
-MAX_ROUNDS = 50
+#: Rounds of re-exports after which the parts are written as one, so that long chains make no long plans.
+TOGETHER = 16
 
 
 def symbols(facts: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def follow(pairs: DataFrame, names: DataFrame, exports: DataFrame, limits: DataF
     state = cut(pairs.select("target", "definition", F.col("target").alias("file"), F.col("definition").alias("name")).distinct())
     seen = state
     done = None
-    for _ in range(MAX_ROUNDS):
+    for step in count(1):
         found = state.join(defined, ["file", "name"], "left_semi")
         done = found if done is None else done.unionByName(found)
         open_ = state.join(defined, ["file", "name"], "left_anti")
@@ -91,6 +93,8 @@ def follow(pairs: DataFrame, names: DataFrame, exports: DataFrame, limits: DataF
         if not state.limit(1).count():
             break
         seen = seen.unionByName(state)
+        if step % TOGETHER == 0:
+            seen, done = cut(seen), cut(done)
     return done.distinct()
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessellar.functions.anchors import slug_anchor
 from tessellar.functions.paths import lies_under, path_order
 
+#: Rounds of a loop after which its parts are written as one.
+TOGETHER = 16
 NO_FILE, NO_HEADING, OUTSIDE = "target file not found", "target heading not found", "target resolves outside root"
 
 
@@ -122,22 +124,25 @@ def first_matches(files: DataFrame, text: str, terms: list[str]) -> DataFrame:
     return rows.where(hit).groupBy("path").agg((F.min("k") + 1).cast("int").alias("line"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, steps): all nodes reached from the starts (column ``node``) over edges (source, target), with the fewest steps.
 
-    A frontier loop: every round joins only what was new in the last one and drops what is known;
-    lineage is cut each round.
+    A frontier loop until nothing is new: every round joins only what was new in the last one and
+    drops what is known; lineage is cut each round, and what is known is put together now and then,
+    so that long ways make no long plans.
     """
     from tessellar.session import cut
 
     known = cut(starts.select("node").distinct().withColumn("steps", F.lit(0)))
     frontier, step = known, 0
     links = edges.select(F.col("source").alias("node"), "target").where("node IS NOT NULL AND target IS NOT NULL").distinct()
-    while step < rounds:
+    while True:
         step += 1
         fresh = cut(frontier.select("node").join(links, "node").select(F.col("target").alias("node")).distinct().join(known, "node", "left_anti").withColumn("steps", F.lit(step)))
         if not fresh.limit(1).count():
             break
         known = known.unionByName(fresh)
+        if step % TOGETHER == 0:
+            known = cut(known)
         frontier = fresh
     return known

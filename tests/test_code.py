@@ -110,3 +110,11 @@ def test_closure(spark):
     assert {tuple(r) for r in graph.deps(imports).collect()} == {("b.py", "a.py"), ("c.py", "b.py"), ("d.py", "c.py")}
     assert {r["path"] for r in graph.importer_closure(imports, "a.py").collect()} == {"a.py", "b.py", "c.py"}
     assert imports.where(F.col("target").isNull()).count() == 0
+
+
+def test_long_chains_of_passed_on_names_are_followed_to_the_end(spark):
+    n = 53
+    exports = spark.createDataFrame([(f"f{i}", "x", f"f{i + 1}", "x") for i in range(n)] + [("loop", "y", "pool", "y"), ("pool", "y", "loop", "y")], "path string, exported string, target string, definition string")
+    names = spark.createDataFrame([(f"f{n}", "x")], "path string, name string")
+    asked = spark.createDataFrame([("f0", "x"), ("loop", "y")], "target string, definition string")
+    assert [tuple(r) for r in graph.follow(asked, names, exports).select("target", "definition", "file", "name").collect()] == [("f0", "x", f"f{n}", "x")]

@@ -142,3 +142,12 @@ def test_editor_and_sql(spark):
     assert spark.sql("SELECT index_term('relational') AS t").first()["t"] == "relat"
     assert spark.sql("SELECT * FROM markdown_headings('# A\n## B')").count() == 2
     assert [tuple(r)[:3] for r in spark.sql("SELECT * FROM code_symbols('a.py', 'def f():\n    pass')").collect()] == [("f", None, "fn")]
+
+
+def test_all_nodes_are_reached_however_far(spark):
+    from tessellar.operators.linkgraph import reach
+
+    n = 104
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)] + [(f"n{n}", "n3"), ("n7", "n7"), (None, "n1"), ("n2", None)], "source string, target string")
+    got = [(r["node"], r["steps"]) for r in reach(edges, spark.createDataFrame([("n0",), ("n0",)], "node string")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(f"n{i}", i) for i in range(n + 1)]
