@@ -40,8 +40,8 @@ def parse_external_id(text: Column | str) -> Column:
 
 
 def default_order(number: Column | str) -> Column:
-    """The order key of an item that was never moved: its number in twelve digits, so text order is number order."""
-    return F.format_string("%012d", _c(number))
+    """The order key of an item that was never moved: its number in twelve digits, so text order is number order; null without one."""
+    return F.when(_c(number).isNotNull(), F.format_string("%012d", _c(number)))
 
 
 def symbol_display(name: Column | str, display_kind: Column | str, kind: Column | str, parent: Column | str) -> Column:

@@ -5,8 +5,11 @@ most parents lie in their child's partition; each partition unites its links by
 and gives each node its topmost local ancestor with the number of steps to it. Only the tops whose
 parent lies elsewhere go on to the next level, as links of their own that carry those steps as
 weight, until one task of bounded size holds what is left. Where that does not shrink the links
-(parents at random places), the remaining links are compressed by self-joins instead, each of
+(parents at random places), the same compression goes on across partitions by self-joins, each of
 which doubles the distance looked ahead, so no task ever holds more than ``task_rows`` links.
+
+Paths are walked inside the partitions through an index of parents; the fronts of those whose top
+has its parent elsewhere double the same way, so their rounds grow with the logarithm of the depth.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.session import cut
+from tessellar.session import cut, task_slots
 
 #: Links one task unites in memory (about 100 bytes each).
 TASK_ROWS = 200_000
-#: A level has to drop at least this share of its links, else the rest is compressed by joins.
+#: Path elements of one batch that a walk gives out.
+WALK_ROWS = 2_000_000
+#: A level has to drop at least this share of its links, else the rest is compressed by joins (figures in the README).
 LEAST_SHRINK = 0.3
 #: What a node on a loop, or below one, gets as root and depth.
 LOOP = -1
@@ -132,9 +138,10 @@ def _compose(local: DataFrame, above: DataFrame) -> DataFrame:
     )
 
 
-def clean_links(rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """One row (id, parent) for each non-null id; of several parents of one id the smallest counts."""
-    return rows.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.min(F.col(parent).cast("long")).alias("parent"))
+def clean_links(rows: DataFrame, node: str, parent: str, place: str | None = None) -> DataFrame:
+    """One row (id, parent, place) for each non-null id; of several parents or places of one id the smallest counts."""
+    where = F.min(F.col(place).cast("long")) if place else F.lit(None).cast("long")
+    return rows.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.min(F.col(parent).cast("long")).alias("parent"), where.alias("place"))
 
 
 def resolve_forest(rows: DataFrame, node: str, parent: str, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -145,12 +152,17 @@ def resolve_forest(rows: DataFrame, node: str, parent: str, task_rows: int = TAS
     dropped, repeated rows count once, of several parents of an id the smallest counts; an empty
     table gives an empty result; other columns of ``rows`` are not read.
     """
-    nodes = cut(clean_links(rows, node, parent))
+    return _forest(cut(clean_links(rows, node, parent)), task_rows).drop("place")
+
+
+def _parts(count: int, task_rows: int, slots: int) -> int:
+    return max(slots, -(-count // task_rows))
+
+
+def _forest(nodes: DataFrame, task_rows: int) -> DataFrame:
     count = nodes.count()
     links = nodes.select("id", "parent", F.lit(1).cast("long").alias("weight"))
-    local = cut(_level(links, max(1, -(-count // task_rows))))
-    if count <= task_rows:
-        return _marked(local.select("id", F.col("top").alias("root"), F.col("steps").alias("depth"), "loop"), nodes)
+    local = cut(_level(links, _parts(count, task_rows, task_slots(nodes.sparkSession))))
     tops = local.where((F.col("id") == F.col("top")) & F.col("up").isNotNull()).select("id", "up", "up_weight")
     # Links to parents that exist; the other tops are roots.
     known = local.select(F.col("id").alias("up"), F.col("top").alias("parent"), "steps", F.col("loop").alias("up_loop"))
@@ -170,89 +182,115 @@ def _marked(forest: DataFrame, nodes: DataFrame) -> DataFrame:
         "parent",
         F.when(F.col("loop"), F.lit(LOOP)).otherwise(F.col("root")).cast("long").alias("root"),
         F.when(F.col("loop"), F.lit(LOOP)).otherwise(F.col("depth")).cast("long").alias("depth"),
+        "place",
     )
 
 
-PATHS = "id long, top long, up long, up_known boolean, local_path array<long>"
+WALKED = "id long, stated long, top long, up long, ids array<long>, places array<long>"
 
 
-def _walk_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Local paths by an index of parents: from the highest ancestor in the partition down to each node."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
+def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Local paths by an index of parents: from the highest ancestor in the partition down to each node.
+
+    Given out in batches of a bounded number of path elements; all that is kept is the index.
+    """
+    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if table is None:
         return
-    links = pd.concat(frames, ignore_index=True)
-    parent = dict(zip(links["id"].tolist(), links["parent"].tolist()))
-    parent = {k: None if v is None or v != v else int(v) for k, v in parent.items()}
-    paths: dict[int, list[int]] = {}
-    out: list[tuple] = []
-    for node in parent:
-        chain, x = [], node
-        while x not in paths:
-            chain.append(x)
-            up = parent[x]
-            if up is None or up not in parent:
-                paths[x] = [x]
-                chain.pop()
-                break
-            x = up
-        base = paths[x]
-        for c in reversed(chain):
-            base = [*base, c]
-            paths[c] = base
-        got = paths[node]
-        up = parent[got[0]]
-        out.append((node, got[0], up, up is not None, got))
-        if len(out) >= 20_000:
-            yield _frame(out)
-            out = []
-    if out:
-        yield _frame(out)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["id", "top", "up", "up_known", "local_path"])
-    frame["up"] = frame["up"].astype("Int64")
-    return frame
-
-
-def tree_paths(rows: DataFrame, node: str, parent: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    table = table.sort_by("id")
+    ids = table["id"].to_numpy()
+    parent = table["up"].combine_chunks()
+    has = parent.is_valid().to_numpy(zero_copy_only=False)
+    parents = parent.fill_null(0).to_numpy()
+    places = table["place"].combine_chunks()
+    at = np.searchsorted(ids, parents)
+    at[at == len(ids)] = 0
+    inside = has & (ids[at] == parents)
+    above = np.where(inside, at, -1)
+    top, steps, _ = unite(ids, parents, has, np.ones(len(ids), np.int64))
+    size = steps + 1
+    total = np.cumsum(size)
+    first = 0
+    while first < len(ids):
+        end = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + WALK_ROWS, side="right")))
+        stop = np.cumsum(size[first:end])
+        chain = np.empty(int(stop[-1]), np.int64)
+        node, last, left = np.arange(first, end), stop - 1, size[first:end]
+        while len(node):
+            chain[last] = node
+            more = left > 1
+            node, last, left = above[node[more]], last[more] - 1, left[more] - 1
+        offsets = pa.array(np.concatenate([[0], stop]).astype(np.int32))
+        s = slice(first, end)
+        high = top[s]
+        up = pa.array(parents[high], mask=~has[high])
+        yield pa.record_batch(
+            [pa.array(ids[s]), table["stated"].combine_chunks()[s], pa.array(ids[high]), up, pa.ListArray.from_arrays(offsets, pa.array(ids[chain])), pa.ListArray.from_arrays(offsets, places.take(pa.array(chain)))],
+            names=["id", "stated", "top", "up", "ids", "places"],
+        )
+        first = end
+
+
+def tree_paths(rows: DataFrame, node: str, parent: str, task_rows: int = TASK_ROWS, place: str | None = None) -> DataFrame:
     """Full path (ids from the root down to the node) beside root and depth, for every node that meets no loop.
 
-    Gives id, parent, root, depth, path (array of long); nodes with root -1 have a null path. Cases
-    as in ``resolve_forest``. Paths are walked inside range partitions through an index of parents;
-    the paths of tops whose parent lies in another partition are put in front, one crossing a round.
+    Gives id, parent, root, depth, path (array of long), places (array of the ``place`` of the same
+    nodes, null where none is named or stated); nodes with root -1 have null arrays. Cases as in
+    ``resolve_forest``. The rounds over what crosses partitions are as many as the logarithm of the
+    crossings, whatever the depth; no task keeps more than the links of its partition.
     """
-    forest = cut(resolve_forest(rows, node, parent, task_rows))
-    sound = forest.where(F.col("root") != LOOP).select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"))
-    count = sound.count()
-    placed = sound.coalesce(1) if count <= task_rows else sound.repartitionByRange(-(-count // task_rows), "id")
-    local = cut(placed.mapInPandas(_walk_partition, PATHS))
-    closed = local.where(~F.col("up_known")).select("id", F.col("local_path").alias("path"))
-    waiting = local.where("up_known")
-    tops = waiting.where(F.col("id") == F.col("top")).select(F.col("id").alias("top"), "up")
-    done, fresh = closed, closed
-    while tops.limit(1).count():
-        fronts = cut(tops.join(fresh.select(F.col("id").alias("up"), F.col("path").alias("front")), "up").select("top", "front"))
-        if not fronts.limit(1).count():
+    nodes = cut(clean_links(rows, node, parent, place))
+    forest = cut(_forest(nodes, task_rows))
+    sound = forest.where(F.col("root") != LOOP).select("id", F.col("parent").alias("stated"), F.when(F.col("depth") > 0, F.col("parent")).alias("up"), "place")
+    parts = _parts(nodes.count(), task_rows, task_slots(rows.sparkSession))
+    local = cut(sound.repartitionByRange(parts, "id").mapInArrow(_walk_partition, WALKED))
+    waiting = local.where(F.col("up").isNotNull())
+    above = local.select(F.col("id").alias("up"), F.col("top").alias("next"), F.col("ids").alias("front"), F.col("places").alias("front_places"))
+    fronts = cut(waiting.where(F.col("id") == F.col("top")).select("top", "up").join(above, "up").select("top", "next", "front", "front_places"))
+    while True:
+        further = fronts.select(F.col("top").alias("next"), F.col("next").alias("__next"), F.col("front").alias("__front"), F.col("front_places").alias("__places"))
+        open_ = fronts.where(F.col("next").isNotNull()).join(further, "next", "left")
+        longer = open_.select(
+            "top",
+            F.col("__next").alias("next"),
+            F.when(F.col("__front").isNotNull(), F.concat("__front", "front")).otherwise(F.col("front")).alias("front"),
+            F.when(F.col("__front").isNotNull(), F.concat("__places", "front_places")).otherwise(F.col("front_places")).alias("front_places"),
+        )
+        if not fronts.where(F.col("next").isNotNull()).limit(1).count():
             break
-        fresh = cut(waiting.join(fronts, "top").select("id", F.concat("front", "local_path").alias("path")))
-        tops = cut(tops.join(fronts.select("top"), "top", "left_anti"))
-        done = done.unionByName(fresh)
-    return forest.join(done, "id", "left")
+        fronts = cut(fronts.where(F.col("next").isNull()).unionByName(longer))
+    columns = ["id", "stated", F.col("ids").alias("path"), "places"]
+    crossing = waiting.join(fronts.select("top", "front", "front_places"), "top").select("id", "stated", F.concat("front", "ids").alias("path"), F.concat("front_places", "places").alias("places"))
+    every = local.where(F.col("up").isNull()).select(*columns).unionByName(crossing)
+    out = every.select("id", F.col("stated").alias("parent"), F.element_at("path", 1).alias("root"), (F.size("path") - 1).cast("long").alias("depth"), "path", "places")
+    looped = forest.where(F.col("root") == LOOP).select("id", "parent", "root", "depth", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("array<long>").alias("places"))
+    return out.unionByName(looped)
+
+
+def dotted(places: str = "places") -> F.Column:
+    """The places of the steps below the root, each after a dot; ? where a step has none."""
+    return F.array_join(F.transform(F.slice(places, F.lit(2), F.size(places)), lambda x: F.concat(F.lit("."), F.coalesce(x.cast("string"), F.lit("?")))), "")
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor_id, id, distance) for every node below another, from ``tree_paths``; as many rows as the depths sum to."""
+    """(ancestor_id, id, distance, place) for every node below another, from ``tree_paths``; as many rows as the depths sum to.
+
+    ``place`` is the dotted places of the steps from the ancestor down.
+    """
     above = F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("k", "ancestor_id")
-    return paths.where(F.size("path") > 1).select("id", "depth", above).select("ancestor_id", "id", (F.col("depth") - F.col("k")).cast("long").alias("distance"))
+    below = paths.where(F.size("path") > 1).select("id", "depth", "places", above)
+    return below.select("ancestor_id", "id", (F.col("depth") - F.col("k")).cast("long").alias("distance"), F.slice("places", F.col("k") + 1, F.size("places")).alias("places")).withColumn("place", dotted()).drop("places")
 
 
-def loops(forest: DataFrame, rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """The nodes that lie on a loop itself: those with root -1 that are left when nodes without children below are peeled off."""
-    bad = forest.where(F.col("root") == LOOP).select("id", "parent")
-    while True:
-        kept = cut(bad.join(bad.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
-        if kept.count() == bad.count():
-            return kept
-        bad = kept
+def loops(forest: DataFrame) -> DataFrame:
+    """(id, loop_id) of the nodes that lie on a loop itself, from ``resolve_forest``; ``loop_id`` is the smallest id of that loop.
+
+    The links of all nodes with root -1 are followed for at least as many steps as there are such
+    nodes, in doubled strides: after that every node stands on a loop, and all of every loop is stood on.
+    """
+    bad = cut(forest.where(F.col("root") == LOOP).select("id", F.col("parent").alias("next"), F.least("id", "parent").alias("least")))
+    count = bad.count()
+    for _ in range(count.bit_length()):
+        ahead = bad.select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("least").alias("__least"))
+        bad = cut(bad.join(ahead, "next").select("id", F.col("__next").alias("next"), F.least("least", "__least").alias("least")))
+    return bad.join(bad.select(F.col("next").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("loop_id"))

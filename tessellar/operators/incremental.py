@@ -1,23 +1,31 @@
 """Taking up only new or changed records, with the target itself as the state.
 
-Every target row stores the key and the version of the source row it came from. A run anti-joins
-the source against those pairs, so what a failed run left unpublished is simply still pending and
-what was published never comes twice. A run writes a complete new version of the target beside the
-old one and publishes it by a small numbered marker file, made exclusively; readers see it with its
-token in it and not before.
+Every target row stores the key and the version of the source row it came from, and every record
+that was taken up leaves such a row, whether it gave output or not. A run anti-joins the source
+against them, so what a failed run left unpublished is simply still pending and what was published
+never comes twice. A run appends what it made as a segment of its own; a manifest of numbered name
+lists the segments of a target version and appears whole or not at all, so one step publishes.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.session import cut
+
 #: Columns of a target: the source key as a struct, and the source version (null where the source has none).
 KEY, VERSION = "source_key", "source_version"
+#: Partition column of a segment: rows of output, or the marks of the records taken up.
+PART, ROWS, MARKS = "part", "rows", "marks"
+#: Segments of a version beyond which they are written together.
+SEGMENTS = 16
 
 
 def pending(source: DataFrame, known: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -45,86 +53,171 @@ def latest_entries(state: DataFrame, runs: DataFrame, keys: list[str], version:
 
 
 class VersionedTarget:
-    """A folder of complete target versions ``v=<n>-<token>`` with a marker ``_current-<n>`` that holds the token for each published one.
+    """A folder of segments ``s-<token>`` and of manifests ``_version-<n>`` that list the segments of each published version.
+
+    A manifest is written under another name and gets its own by one rename that fails if the name
+    is taken. Of runs that started from one version only one publishes; a run that dies anywhere
+    leaves a segment or a file that no manifest names, and the next run takes no notice of it. (On
+    stores whose rename may overwrite, two runs at once have to be kept apart by other means.)
 
-    A run that dies leaves at most a version without a marker or a marker without its token. Neither
-    is published, and the next run takes the next number. Markers of before (``_current-<n>-<token>``)
-    are read as well.
+    Null keys are a key like another. Where a source holds several versions of a key the greatest
+    counts (null is the least), of equal ones any row. Empty sources and outputs publish what they are.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, segments: int = SEGMENTS):
+        self.spark, self.folder, self.most = spark, folder.rstrip("/"), segments
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
 
-    def _published(self) -> tuple[int, str | None, int]:
-        """Number and token of the latest published version, and the highest number taken."""
-        best: tuple[int, str | None] = (0, None)
-        taken = 0
+    def _published(self) -> tuple[int, list[list]]:
+        """Number of the latest published version, and its segments as [number, token], oldest first."""
+        best, at = 0, None
         root = self._path(self.folder)
         if self._fs.exists(root):
             for status in self._fs.listStatus(root):
                 name = status.getPath().getName()
-                if name.startswith("_current-"):
-                    number, _, token = name[len("_current-") :].partition("-")
-                    taken = max(taken, int(number))
-                    token = token or self._token(status)
-                    if token:
-                        best = max(best, (int(number), token), key=lambda x: x[0])
-        return *best, taken
-
-    def _token(self, status) -> str | None:
-        """The token a marker holds; None if its run died before it was whole."""
-        if not status.getLen():
-            return None
-        stream = self._fs.open(status.getPath())
+                if name.startswith("_version-") and int(name[len("_version-") :]) > best:
+                    best, at = int(name[len("_version-") :]), status.getPath()
+        if at is None:
+            return 0, []
+        stream = self._fs.open(at)
         try:
-            text = stream.readLine() or ""
+            return best, json.loads(stream.readLine())
         finally:
             stream.close()
-        return text if re.fullmatch("[0-9a-f]{32}", text) else None
+
+    def _segment(self, number: int, token: str, part: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/s-{token}").where(F.col(PART) == part).drop(PART)
+        return rows.withColumn("__segment", F.lit(number))
+
+    def _gathered(self, segments: list[list], part: str) -> DataFrame | None:
+        frames = [self._segment(n, t, part) for n, t in segments]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
+    def _marks(self, segments: list[list]) -> DataFrame | None:
+        """(key, version, segment) of every record the segments took up, as it came last."""
+        marks = self._gathered(segments, MARKS)
+        if marks is None or len(segments) == 1:
+            return None if marks is None else marks.select(KEY, VERSION, "__segment")
+        return marks.groupBy(KEY).agg(F.max_by(VERSION, "__segment").alias(VERSION), F.max("__segment").alias("__segment"))
+
+    def known(self) -> DataFrame | None:
+        """(source_key, source_version) of every record that was taken up; None before the first version."""
+        marks = self._marks(self._published()[1])
+        return None if marks is None else marks.select(KEY, VERSION)
+
+    def _current(self, segments: list[list]) -> DataFrame | None:
+        rows = self._gathered(segments, ROWS)
+        if rows is None or len(segments) == 1:
+            return rows
+        last = self._marks(segments).select(F.col(KEY).alias("__key"), F.col("__segment").alias("__last"))
+        return rows.join(last, (F.col(KEY).eqNullSafe(F.col("__key"))) & (F.col("__segment") == F.col("__last")), "left_semi")
 
     def read(self) -> DataFrame | None:
-        """The latest published version; None before the first."""
-        number, token, _ = self._published()
-        return None if token is None else self.spark.read.parquet(f"{self.folder}/v={number}-{token}")
+        """The output rows of the latest published version; None before the first."""
+        rows = self._current(self._published()[1])
+        return None if rows is None else rows.drop("__segment")
+
+    def _todo(self, source: DataFrame, keys: list[str], version: str, marks: DataFrame | None, feed: bool) -> DataFrame:
+        key = F.struct(*[F.col(k) for k in keys])
+        stamped = source.withColumns({KEY: key, VERSION: F.col(version)})
+        # Of several versions the greatest: null is less than any other, so the flag goes first.
+        newest = stamped.groupBy(KEY).agg(F.max_by(F.struct("*"), F.struct(F.col(VERSION).isNotNull(), F.col(VERSION))).alias("__row")).select("__row.*")
+        if marks is None:
+            return newest
+        there = marks.select(F.col(KEY).alias("__key"), F.col(VERSION).alias("__v"))
+        same: Column = F.col(VERSION).eqNullSafe(F.col("__v"))
+        if feed:
+            same = same | F.col(VERSION).isNull() | (F.col(VERSION) < F.col("__v"))
+        return newest.join(there, F.col(KEY).eqNullSafe(F.col("__key")) & same, "left_anti")
+
+    def pending(self, source: DataFrame, keys: list[str], version: str, feed: bool = False) -> DataFrame:
+        """The rows of ``source``, one a key, that the published version has not taken up as they are, with their key and version.
+
+        A snapshot's record is pending if its version is not the one known; of a feed only a greater one is, so that late
+        older versions never come after newer ones.
+        """
+        return self._todo(source, keys, version, self._marks(self._published()[1]), feed)
+
+    def adopt(self, known: DataFrame, keys: list[str], version: str) -> None:
+        """Publishes records as taken up without output: what another bookkeeping says is done."""
+        self.run(known, keys, version, lambda rows: rows.limit(0))
 
-    def run(self, source: DataFrame, keys: list[str], version: str, process: Callable[[DataFrame], DataFrame], before_publish: Callable[[], None] | None = None) -> int:
+    def run(self, source: DataFrame, keys: list[str], version: str, process: Callable[[DataFrame], DataFrame], before_publish: Callable[[], None] | None = None, feed: bool = False) -> int:
         """Processes the pending rows of ``source`` and publishes the target with them; gives how many source rows were pending.
 
-        ``process`` keeps the key and version columns. Rows of keys that come again replace the
-        earlier ones. Raises, with nothing published, if another run published meanwhile.
-        ``before_publish`` is called between writing and publishing (a failure there loses nothing).
+        ``process`` keeps the key and version columns; it may give any number of rows for a record,
+        or none, and those of a record that comes again replace the earlier ones. Raises, with
+        nothing published, if another run published meanwhile. ``before_publish`` is called between
+        writing and publishing (a failure there loses nothing). Only what is pending is written.
         """
-        number, token, taken = self._published()
-        old = None if token is None else self.spark.read.parquet(f"{self.folder}/v={number}-{token}")
-        key = F.struct(*[F.col(k) for k in keys]).alias(KEY)
-        stamped = source.select("*", key, F.col(version).alias(VERSION))
-        if old is None:
-            todo = stamped.dropDuplicates([KEY, VERSION])
-        else:
-            known = old.select(F.col(KEY).alias("__key"), F.col(VERSION).alias("__v")).distinct()
-            todo = stamped.join(known, (F.col(KEY) == F.col("__key")) & F.col(VERSION).eqNullSafe(F.col("__v")), "left_anti").dropDuplicates([KEY, VERSION])
-        fresh = process(todo)
-        if old is not None:
-            touched = todo.select(F.col(KEY).alias("__key")).distinct()
-            fresh = fresh.unionByName(old.join(touched, F.col(KEY) == F.col("__key"), "left_anti"), allowMissingColumns=True)
-        token = uuid.uuid4().hex
-        fresh.write.parquet(f"{self.folder}/v={taken + 1}-{token}")
+        number, segments = self._published()
+        # Taken up once, so output and marks are of the same rows whatever becomes of the source.
+        todo = cut(self._todo(source, keys, version, self._marks(segments), feed))
         count = todo.count()
+        if not count and segments:
+            return 0
+        token = uuid.uuid4().hex
+        marks = todo.select(KEY, VERSION).withColumn(PART, F.lit(MARKS))
+        made = process(todo).withColumn(PART, F.lit(ROWS)).unionByName(marks, allowMissingColumns=True)
+        made.write.partitionBy(PART).parquet(f"{self.folder}/s-{token}")
+        if not count:
+            # The first segment gives the schema, so even an empty one has a file.
+            made.where("false").drop(PART).write.mode("overwrite").parquet(f"{self.folder}/s-{token}/{PART}={MARKS}")
         if before_publish:
             before_publish()
-        self._publish(taken + 1, token)
+        self._publish(number + 1, [*segments, [number + 1, token]])
+        if len(segments) + 1 > self.most:
+            self.compact()
         return count
 
-    def _publish(self, number: int, token: str) -> None:
-        # The marker is made exclusively, so of two runs that started from one version only one publishes.
-        marker = self._fs.create(self._path(f"{self.folder}/_current-{number}"), False)
+    def compact(self) -> None:
+        """Writes the segments of the latest version together as one and publishes that; readers see the same rows."""
+        number, segments = self._published()
+        if len(segments) < 2:
+            return
+        token = uuid.uuid4().hex
+        marks = self._marks(segments).select(KEY, VERSION).withColumn(PART, F.lit(MARKS))
+        rows = self._current(segments).drop("__segment").withColumn(PART, F.lit(ROWS))
+        rows.unionByName(marks, allowMissingColumns=True).write.partitionBy(PART).parquet(f"{self.folder}/s-{token}")
+        self._publish(number + 1, [[number + 1, token]])
+
+    def _publish(self, number: int, segments: list[list]) -> None:
+        draft = f"{self.folder}/_draft-{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(draft), False)
         try:
-            self._write(marker, token)
+            self._write(stream, json.dumps(segments))
         finally:
-            marker.close()
-
-    def _write(self, marker, token: str) -> None:
-        marker.writeBytes(token + "\n")
+            stream.close()
+        self._rename(draft, f"{self.folder}/_version-{number}")
+
+    def _write(self, stream, text: str) -> None:
+        stream.writeBytes(text + "\n")
+
+    def _rename(self, draft: str, name: str) -> None:
+        """Gives the draft its name in one step; raises if another run has taken it."""
+        there, uri = self._path(draft), self._fs.getUri()
+        if uri.getScheme() == "file":
+            # A rename on a local disk overwrites; a second link does not.
+            strip = lambda p: self._path(p).toUri().getPath()
+            os.link(strip(draft), strip(name))
+            self._fs.delete(there, False)
+        else:
+            jvm = self.spark._jvm
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self._conf).rename(there, self._path(name), none)
+
+    def vacuum(self, seconds: float = 7 * 86_400) -> int:
+        """Deletes segments and drafts that the latest version does not name and that are older than ``seconds``; gives how many."""
+        named = {f"s-{t}" for _, t in self._published()[1]}
+        root, gone = self._path(self.folder), 0
+        if not self._fs.exists(root):
+            return 0
+        limit = self.spark._jvm.System.currentTimeMillis() - int(seconds * 1000)
+        for status in self._fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith(("s-", "_draft-")) and name not in named and status.getModificationTime() <= limit:
+                gone += self._fs.delete(status.getPath(), True)
+        return gone

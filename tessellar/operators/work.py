@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellar.functions.text import default_order
-from tessellar.operators.forest import tree_paths
+from tessellar.functions.order_keys import order_between
+from tessellar.functions.text import default_order, parse_external_id
+from tessellar.operators.forest import dotted, tree_paths
+from tessellar.session import BROADCAST_ROWS, cut
 
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -22,12 +24,8 @@ def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 def crumbs(tasks: DataFrame) -> DataFrame:
     """(id, root_id, depth, suffix) of every task reachable from a root: the dotted ``child_seq`` of the steps down to it."""
-    paths = tree_paths(tasks.select("id", "parent_id"), "id", "parent_id").where("root <> -1")
-    places = tasks.select(F.col("id").alias("node"), F.coalesce(F.col("child_seq").cast("string"), F.lit("?")).alias("place"))
-    steps = paths.select("id", "root", "depth", F.posexplode("path").alias("k", "node")).join(places, "node")
-    return steps.groupBy("id", F.col("root").alias("root_id"), "depth").agg(
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", "place")))), lambda s: F.concat(F.lit("."), s["place"]))).alias("suffix")
-    )
+    paths = tree_paths(tasks.select("id", "parent_id", "child_seq"), "id", "parent_id", place="child_seq").where("root <> -1")
+    return paths.select("id", F.col("root").alias("root_id"), "depth", dotted().alias("suffix"))
 
 
 def task_view(tasks: DataFrame, projects: DataFrame, spaces: DataFrame, cycles: DataFrame, places: DataFrame | None = None) -> DataFrame:
@@ -111,9 +109,112 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, top: int) -> D
 
 
 def subtree(tasks: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id) of the roots given (column ``id``) and everything below them, deleted tasks included."""
-    paths = tree_paths(tasks.select("id", "parent_id"), "id", "parent_id").where("root <> -1").select("id", F.explode("path").alias("ancestor"))
-    return paths.join(roots.select(F.col("id").alias("ancestor")).distinct(), "ancestor").select(F.col("ancestor").alias("root"), "id")
+    """(root, id, distance, sort_key) of the roots given (column ``id``) and everything below them, deleted tasks included.
+
+    One round a level from the roots down: the tasks are joined to the nodes found last, which are
+    broadcast while they are few. ``sort_key`` is the padded ``child_seq`` of the steps below the
+    root (those without one behind all others), so its text order is depth-first sibling order.
+    Roots that are no task give nothing; on loops each node counts once, by its least distance.
+    """
+    step = F.concat(F.lit("."), F.coalesce(default_order("child_seq"), F.lit("~")))
+    links = cut(tasks.where("id IS NOT NULL").groupBy("id", F.col("parent_id").alias("node")).agg(F.min("child_seq").alias("child_seq")).select("id", "node", step.alias("step")))
+    start = links.select("id").distinct().join(roots.select("id").distinct(), "id")
+    found = front = cut(start.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("distance"), F.lit("").alias("sort_key")))
+    while count := front.count():
+        above = front.select("root", F.col("id").alias("node"), "distance", "sort_key")
+        below = links.join(F.broadcast(above) if count <= BROADCAST_ROWS else above, "node").groupBy("root", "id").agg((F.min("distance") + 1).alias("distance"), F.min(F.concat("sort_key", "step")).alias("sort_key"))
+        front = cut(below.join(found.select("root", "id"), ["root", "id"], "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
+def descendants_in_order(tasks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, distance, place) of the live tasks below each root, numbered from 1 in depth-first sibling order.
+
+    What lies below a deleted task is reached through it. Equal places go by id.
+    """
+    live = tasks.where("deleted_at IS NULL").select("id").distinct()
+    below = subtree(tasks, roots).where("distance > 0").join(live, "id", "left_semi")
+    return below.select("root", "id", "distance", F.row_number().over(Window.partitionBy("root").orderBy("sort_key", "id")).cast("long").alias("place"))
+
+
+def by_external_id(view: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(external_id, id) of the tasks that ids such as ``KB-0007.1.2`` name; ids that are none, or name nothing, give no row.
+
+    ``view``: ``task_view`` with the columns id, owner_alias, seq; ``places``: ``crumbs``; ``wanted``: external_id.
+    An alias matches in any case of letters.
+    """
+    ids = wanted.select("external_id", parse_external_id("external_id").alias("p")).where("p IS NOT NULL").distinct()
+    ids = ids.select("external_id", F.col("p.alias").alias("alias"), F.col("p.seq").alias("seq"), F.array_join(F.transform("p.children", lambda x: F.concat(F.lit("."), x.cast("string"))), "").alias("suffix"))
+    tops = view.where("parent_id IS NULL").select(F.upper("owner_alias").alias("alias"), "seq", F.col("id").alias("root_id")).distinct()
+    return ids.join(tops, ["alias", "seq"]).join(places.select("id", "root_id", "suffix"), ["root_id", "suffix"]).select("external_id", "id")
+
+
+SIBLINGS = ["project_id", "space_id", "parent_id"]
+
+
+def moved(tasks: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, order_key, problem) of moves among siblings: each by itself gets a key between its new neighbours.
+
+    ``moves``: id, target (``top``, ``bottom``, ``before``, ``after``), sibling (for the last two).
+    Siblings share owner and parent; deleted ones count. A move whose sibling is elsewhere or
+    missing, or where no key lies between, has a problem and no key; a move beside itself keeps its key.
+    """
+    rows = tasks.select("id", *SIBLINGS, order_key().alias("key"))
+    w = Window.partitionBy(*SIBLINGS).orderBy(F.asc_nulls_first("key"), "id")
+
+    def beside(k: int) -> Column:
+        f = F.lag if k < 0 else F.lead
+        return F.struct(f("id", abs(k)).over(w).alias("id"), f("key", abs(k)).over(w).alias("key"))
+
+    placed = rows.withColumns({"before": F.array(beside(-1), beside(-2)), "after": F.array(beside(1), beside(2))})
+    mine = placed.select("id", *[F.col(c).alias(f"__{c}") for c in SIBLINGS], F.col("key").alias("own_key"))
+    lowest = rows.groupBy(*SIBLINGS).agg(F.min(F.struct("key", "id")).alias("low"), F.max(F.struct("key", "id")).alias("high"))
+    second = rows.join(lowest.select(*[F.col(c).alias(f"__{c}") for c in SIBLINGS], "low", "high"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SIBLINGS])
+    second = second.groupBy(*SIBLINGS).agg(
+        F.first("low").alias("low"), F.first("high").alias("high"),
+        F.min(F.when(F.col("id") != F.col("low.id"), F.struct("key", "id"))).alias("low2"), F.max(F.when(F.col("id") != F.col("high.id"), F.struct("key", "id"))).alias("high2"),
+    )
+    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in SIBLINGS]
+    at = moves.select("id", "target", "sibling").join(mine, "id")
+    outer = at.where("target IN ('top', 'bottom')").join(second, same).select(
+        "id",
+        F.when(F.col("target") == "bottom", F.when(F.col("high.id") == F.col("id"), F.col("high2.key")).otherwise(F.col("high.key"))).alias("low_key"),
+        F.when(F.col("target") == "top", F.when(F.col("low.id") == F.col("id"), F.col("low2.key")).otherwise(F.col("low.key"))).alias("high_key"),
+        F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("kept"),
+    )
+    sibling = placed.select(F.col("id").alias("sibling"), *SIBLINGS, "key", "before", "after")
+
+    def next_to(column: str) -> Column:
+        return F.when(F.element_at(column, 1)["id"] == F.col("id"), F.element_at(column, 2)["key"]).otherwise(F.element_at(column, 1)["key"])
+
+    elsewhere = ~(same[0] & same[1] & same[2])
+    inner = at.where("target IN ('before', 'after')").join(sibling, "sibling", "left").select(
+        "id",
+        F.when(F.col("target") == "before", next_to("before")).otherwise(F.col("key")).alias("low_key"),
+        F.when(F.col("target") == "before", F.col("key")).otherwise(next_to("after")).alias("high_key"),
+        F.when(F.col("key").isNull(), "no such sibling").when(elsewhere, "sibling elsewhere").alias("problem"),
+        F.when(F.col("id") == F.col("sibling"), F.col("own_key")).alias("kept"),
+    )
+    both = outer.unionByName(inner).withColumn("made", order_between("low_key", "high_key"))
+    key = F.when(F.col("problem").isNull(), F.coalesce("kept", "made"))
+    return both.select("id", key.alias("order_key"), F.coalesce("problem", F.when(key.isNull(), "no key between")).alias("problem"))
+
+
+def reparented(tasks: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, parent_id, seq, child_seq, order_key) of tasks under new parents (null: top level), numbered behind those there.
+
+    ``moves``: id, parent_id; several to one place go in the order of ids. The old number is lost and the order key starts anew. Moves
+    to the parent a task has are none; those that would close a loop are for ``records.would_loop`` to find.
+    """
+    now = tasks.select("id", F.col("parent_id").alias("old_parent"), "project_id", "space_id")
+    todo = moves.select("id", "parent_id").join(now, "id").where(~F.col("parent_id").eqNullSafe(F.col("old_parent")) & ~F.col("parent_id").eqNullSafe(F.col("id")))
+    under = allocate(todo.where("parent_id IS NOT NULL"), tasks.where("parent_id IS NOT NULL").select("parent_id", "child_seq"), ["parent_id"], "child_seq", ["id"])
+    top = allocate(todo.where("parent_id IS NULL"), tasks.where("parent_id IS NULL").select("project_id", "space_id", "seq"), ["project_id", "space_id"], "seq", ["id"])
+    none = F.lit(None).cast("long")
+    return under.select("id", "parent_id", none.alias("seq"), F.col("child_seq").cast("long").alias("child_seq"), default_order("child_seq").alias("order_key")).unionByName(
+        top.select("id", "parent_id", F.col("seq").cast("long").alias("seq"), none.alias("child_seq"), default_order("seq").alias("order_key"))
+    )
 
 
 def attached(labels: DataFrame, links: DataFrame, item: str = "task_id") -> DataFrame:

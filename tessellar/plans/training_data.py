@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.anchors import numbered_anchors, slug_anchor
 from tessellar.functions.times import clock_micros, instant_micros
-from tessellar.operators.forest import descendants, resolve_forest, tree_paths
-from tessellar.operators.incremental import latest_entries, pending
+from tessellar.operators.forest import descendants, dotted, loops, resolve_forest, tree_paths
+from tessellar.operators.incremental import VersionedTarget, latest_entries
 from tessellar.operators.references import orphan_references
+from tessellar.session import own_folder
 from tessellar.sources.tables import table
 
 # Problem 4
@@ -20,27 +21,35 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return forest.where(F.col("parent").isNotNull()).select(F.col("id").alias("task_id"), F.col("root").alias("root_id"), "depth")
 
 
+def task_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return tree_paths(table(spark, sf, "tasks"), "id", "parent_id", place="child_seq")
+
+
 def p4_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Every task with its place: ids from the root down, and the dotted ``child_seq`` of the steps."""
-    tasks = table(spark, sf, "tasks").select("id", "parent_id")
-    paths = tree_paths(tasks, "id", "parent_id")
-    return paths.select(F.col("id").alias("task_id"), F.col("root").alias("root_id"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+    ids = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
+    return task_paths(spark, sf).select(F.col("id").alias("task_id"), F.col("root").alias("root_id"), "depth", ids.alias("path"), dotted().alias("place"))
 
 
 def p4_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = table(spark, sf, "tasks").select("id", "parent_id")
-    return descendants(tree_paths(tasks, "id", "parent_id")).select("ancestor_id", F.col("id").alias("task_id"), "distance")
+    """Everything below every task, with the dotted ``child_seq`` from there down, by which siblings are placed."""
+    return descendants(task_paths(spark, sf)).select("ancestor_id", F.col("id").alias("task_id"), "distance", "place")
+
+
+def p4_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """The tasks that lie on a loop, each with the smallest id of its loop."""
+    return loops(resolve_forest(table(spark, sf, "tasks"), "id", "parent_id")).select(F.col("id").alias("task_id"), "loop_id")
 
 
 P4_TREE = """
-WITH RECURSIVE n AS (SELECT id, min(parent_id) AS parent FROM tasks WHERE id IS NOT NULL GROUP BY id),
+WITH RECURSIVE n AS (SELECT id, min(parent_id) AS parent, min(child_seq) AS seq FROM tasks WHERE id IS NOT NULL GROUP BY id),
 t AS (
-  SELECT n.id, n.parent, n.id AS root, CAST(0 AS BIGINT) AS depth, CAST(n.id AS VARCHAR) AS path
+  SELECT n.id, n.parent, n.id AS root, CAST(0 AS BIGINT) AS depth, CAST(n.id AS VARCHAR) AS path, '' AS place
   FROM n WHERE n.parent IS NULL OR n.parent NOT IN (SELECT id FROM n)
   UNION ALL
-  SELECT c.id, c.parent, t.root, t.depth + 1, t.path || '/' || CAST(c.id AS VARCHAR) FROM t JOIN n c ON c.parent = t.id
+  SELECT c.id, c.parent, t.root, t.depth + 1, t.path || '/' || CAST(c.id AS VARCHAR), t.place || '.' || coalesce(CAST(c.seq AS VARCHAR), '?') FROM t JOIN n c ON c.parent = t.id
 ),
-w AS (SELECT n.id, n.parent, coalesce(t.root, -1) AS root, coalesce(t.depth, -1) AS depth, t.path FROM n LEFT JOIN t ON t.id = n.id)
+w AS (SELECT n.id, n.parent, coalesce(t.root, -1) AS root, coalesce(t.depth, -1) AS depth, t.path, t.place FROM n LEFT JOIN t ON t.id = n.id)
 """
 
 # Problem 5
@@ -61,8 +70,35 @@ def synced_versions(spark: SparkSession, sf: str) -> DataFrame:
     return latest_entries(state, table(spark, sf, "sync_runs"), ["entity", "record_id"], "version")
 
 
+SYNCED = ["entity", "record_id"]
+
+
+def sync_target(spark: SparkSession, sf: str) -> VersionedTarget:
+    """A target that has taken up what the successful runs wrote down."""
+    target = VersionedTarget(spark, own_folder(spark, "sync-target"))
+    target.adopt(synced_versions(spark, sf), SYNCED, "version")
+    return target
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pending(source_versions(spark, sf), synced_versions(spark, sf), ["entity", "record_id"], "version").select("entity", "record_id").distinct()
+    """What the published target, whose rows hold source key and version, has not taken up of the source as it is now."""
+    return sync_target(spark, sf).pending(source_versions(spark, sf), SYNCED, "version").select(*SYNCED)
+
+
+def p5_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """One run that takes up what is pending, one that dies before publishing and one after it: what the target holds of them."""
+    target, now = sync_target(spark, sf), source_versions(spark, sf)
+
+    def lost() -> None:
+        raise InterruptedError
+
+    try:
+        target.run(now, SYNCED, "version", lambda rows: rows, before_publish=lost)
+    except InterruptedError:
+        pass
+    target.run(now, SYNCED, "version", lambda rows: rows)
+    target.run(now, SYNCED, "version", lambda rows: rows)
+    return target.read().select(*SYNCED, "version")
 
 
 def p5_sync_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,17 +214,23 @@ P6_REPORT = P6_TABLES + """
 SELECT ref_table, ref_field, month, reason, count(DISTINCT ref_id) AS orphans FROM orphan GROUP BY ALL
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p5_found, p5_sync_counts, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_loops, p5_found, p5_sync, p5_sync_counts, p6_found, p6_report)}
 
 SQL = {
     "p4_found": P4_TREE + "SELECT id AS task_id, root AS root_id, depth FROM w WHERE parent IS NOT NULL",
-    "p4_paths": P4_TREE + "SELECT id AS task_id, root AS root_id, depth, path FROM w",
+    "p4_paths": P4_TREE + "SELECT id AS task_id, root AS root_id, depth, path, place FROM w",
     "p4_descendants": P4_TREE
-    + ", d AS (SELECT id, depth, unnest(string_split(path, '/')) AS a, generate_subscripts(string_split(path, '/'), 1) - 1 AS k FROM w WHERE root <> -1)"
-    + " SELECT CAST(a AS BIGINT) AS ancestor_id, id AS task_id, CAST(depth - k AS BIGINT) AS distance FROM d WHERE depth > k",
+    + ", d AS (SELECT id, depth, place, unnest(string_split(path, '/')) AS a, generate_subscripts(string_split(path, '/'), 1) - 1 AS k FROM w WHERE root <> -1)"
+    + " SELECT CAST(a AS BIGINT) AS ancestor_id, d.id AS task_id, CAST(d.depth - k AS BIGINT) AS distance, substr(d.place, length(w.place) + 1) AS place FROM d JOIN w ON w.id = CAST(a AS BIGINT) WHERE d.depth > k",
+    "p4_loops": P4_TREE
+    + ", bad AS (SELECT id, parent FROM w WHERE root = -1), walk AS (SELECT id AS start, parent AS pos FROM bad UNION SELECT k.start, b.parent FROM walk k JOIN bad b ON b.id = k.pos)"
+    + " SELECT start AS task_id, min(pos) AS loop_id FROM walk WHERE start IN (SELECT k.start FROM walk k WHERE k.start = k.pos) GROUP BY start",
     "p5_found": P5_VERSIONS
     + "SELECT DISTINCT s.entity, s.record_id FROM src s LEFT JOIN known k ON k.entity = s.entity AND k.record_id = s.record_id"
     + " WHERE k.record_id IS NULL OR k.version IS DISTINCT FROM s.version",
+    "p5_sync": P5_VERSIONS
+    + "SELECT s.entity, s.record_id, max(s.version) AS version FROM src s LEFT JOIN known k ON k.entity = s.entity AND k.record_id = s.record_id"
+    + " WHERE k.record_id IS NULL OR k.version IS DISTINCT FROM s.version GROUP BY ALL",
     "p5_sync_counts": P5_VERSIONS
     + ", now AS (SELECT entity, record_id, max(version) AS version FROM src GROUP BY ALL)"
     + " SELECT coalesce(n.entity, k.entity) AS entity, CASE WHEN k.record_id IS NULL THEN 'added' WHEN n.record_id IS NULL THEN 'removed'"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessellar.operators.incremental import VersionedTarget
 from tessellar.operators.search import postings
@@ -17,24 +15,11 @@ from tessellar.operators.search import postings
 def latest_stream(changes: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, order, value) whenever a key's latest row changes: a stream in update mode, one small state a key.
 
-    Rows that arrive late and are older than the state change nothing; of equal ones the first counts.
+    Rows that arrive late and are older than the state change nothing; of equal orders the greatest
+    value counts. A null order is less than any other.
     """
-    kinds = dict(changes.dtypes)
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}"
-    state_schema = f"order {kinds[order]}, value {kinds[value]}"
-
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        before = best
-        for frame in batches:
-            for o, v in zip(frame[order].tolist(), frame[value].tolist()):
-                if best is None or o > best[0]:
-                    best = (o, v)
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame({key: [k[0]], order: [best[0]], value: [best[1]]})
-
-    return changes.groupBy(key).applyInPandasWithState(update, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+    last = F.max(F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("o"), F.col(value).alias("v")))
+    return changes.groupBy(key).agg(last.alias("last")).select(key, F.col("last.o").alias(order), F.col("last.v").alias(value))
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, late: str) -> DataFrame:
@@ -55,6 +40,6 @@ def keep_index(changes: DataFrame, folder: str, key: str, version: str, text: Ca
             found = postings(rows, key, text())
             return rows.select(key, "source_key", "source_version").join(found, key, "left")
 
-        VersionedTarget(batch.sparkSession, folder).run(last, [key], version, process)
+        VersionedTarget(batch.sparkSession, folder).run(last, [key], version, process, feed=True)
 
     return changes.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from tessellar.functions.anchors import numbered_anchors, slug_anchor
-from tessellar.operators.references import orphan_references
+from tessellar.operators.references import RANGE, SPARSE, Bitmap, bitmaps, orphan_references, surviving
 
 MONTH = 2_629_800_000_000
 
@@ -28,13 +30,36 @@ def test_against_brute_force(spark):
                 want.add((i, "later"))
     left = spark.createDataFrame(refs, "domain string, key string, at long, since long")
     right = spark.createDataFrame(parents, "domain string, key string, since long")
-    for buckets in (1, 7, None):
-        got = orphan_references(left, right, buckets).collect()
-        assert len(got) == len(want) and {(r["since"], r["reason"]) for r in got} == want
+    got = orphan_references(left, right).collect()
+    assert len(got) == len(want) and {(r["since"], r["reason"]) for r in got} == want
     assert {r["reason"] for r in orphan_references(left, right.limit(0)).collect()} == {"absent"}
     assert orphan_references(left.limit(0), right).count() == 0
 
 
+def test_bitmaps():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, SPARSE, SPARSE + 1, RANGE):
+        positions = np.sort(rng.choice(RANGE, size, replace=False))
+        bits = rng.random(RANGE) < 0.5
+        made = Bitmap(positions)
+        assert made.dense == (size > SPARSE) and (made.positions() == positions).all()
+        assert (made.and_not(bits) == positions[~bits[positions]]).all()
+        into = bits.copy()
+        made.put_into(into)
+        assert into.sum() == len(np.union1d(np.flatnonzero(bits), positions))
+
+
+def test_ranges():
+    rng = np.random.default_rng(4)
+    ordinals, periods = rng.integers(0, RANGE, 30_000), rng.integers(0, 6, 30_000)
+    pairs = np.unique(np.stack([ordinals, periods], 1), axis=0)
+    has = np.unique(rng.integers(0, RANGE, 40_000))
+    born = rng.integers(-1, 6, len(has))
+    got = {(int(x), p) for p, left in surviving(bitmaps(pairs[:, 0], pairs[:, 1]), bitmaps(has, born)) for x in left}
+    when = dict(zip(has.tolist(), born.tolist()))
+    assert got == {(x, p) for x, p in pairs.tolist() if when.get(x, 99) >= p}
+
+
 def test_slugs(spark):
     cases = {"Hello World": "hello-world", " a - b ": "a-b", "a-&-b": "a-b", "Über Straße": "ber-strae", "日本": "section", "__init__": "init", "A_b  c": "a-b-c", "": "section", "K1": "1"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", slug_anchor("t").alias("s")).collect()

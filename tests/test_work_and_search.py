@@ -42,13 +42,37 @@ def test_listing(view, tasks):
     assert {(r["project_id"], r["space_id"]): r["next"] for r in work.next_number(tasks, ["project_id", "space_id"], "seq").collect()} == {(1, None): 4, (None, 7): 2, (None, None): 5}
     new = tasks.select("project_id", "space_id", F.lit(0).alias("x"), "id")
     assert {r["id"]: r["seq"] for r in work.allocate(new.where("id IN (1, 2, 4)"), tasks, ["project_id", "space_id"], "seq", ["id"]).collect()} == {1: 4, 2: 5, 4: 2}
-    assert {tuple(r) for r in work.subtree(tasks, tasks.where("id = 1").select("id")).collect()} == {(1, 1), (1, 3), (1, 6)}
+    assert {(r["root"], r["id"], r["distance"]) for r in work.subtree(tasks, tasks.where("id = 1").select("id")).collect()} == {(1, 1, 0), (1, 3, 1), (1, 6, 2)}
     top = {(r["status"], r["place"]): r["group_size"] for r in work.top_per_group(tasks, ["status"], ["id"], 1).collect()}
     assert top == {("open", 1): 5, ("done", 1): 1, (None, 1): 1}
     assert ids(work.latest(tasks.unionByName(tasks.withColumn("title", F.lit("z"))), ["id"], ["title"]).where("title = 'z'").orderBy("id")) == [1, 2, 3, 4, 5, 6, 7]
     assert work.list_tasks(view.limit(0)).count() == 0 and work.crumbs(tasks.limit(0)).count() == 0
 
 
+def test_moves(spark):
+    rows = [(1, 1, None, None, 1, None, "a"), (2, 1, None, None, 2, None, "c"), (3, 1, None, None, 3, None, "e"), (4, 1, None, 1, None, 1, "x"), (5, 2, None, None, 1, None, "m"), (6, 1, None, 1, None, 4, "x")]
+    t = spark.createDataFrame(rows, "id long, project_id long, space_id long, parent_id long, seq long, child_seq long, order_key string")
+
+    def move(*m):
+        return {r["id"]: (r["order_key"], r["problem"]) for r in work.moved(t, spark.createDataFrame([m], "id long, target string, sibling long")).collect()}[m[0]]
+
+    assert move(3, "top", None)[0] < "a" and move(1, "top", None)[0] < "c" and "e" < move(1, "bottom", None)[0] and "c" < move(3, "bottom", None)[0]
+    assert "c" < move(1, "after", 2)[0] < "e" and "c" < move(3, "after", 2)[0] and "a" < move(3, "before", 2)[0] < "c" and move(1, "before", 2)[0] < "c"
+    assert move(2, "after", 2) == ("c", None) and move(1, "after", 4) == (None, "sibling elsewhere") and move(1, "after", 99) == (None, "no such sibling")
+    assert move(5, "top", None) == ("i", None)
+    moves = spark.createDataFrame([(2, 1), (3, 1), (4, None), (6, 1), (5, 5)], "id long, parent_id long")
+    got = {r["id"]: (r["parent_id"], r["seq"], r["child_seq"], r["order_key"]) for r in work.reparented(t, moves).collect()}
+    assert got == {2: (1, None, 5, "000000000005"), 3: (1, None, 6, "000000000006"), 4: (None, 4, None, "000000000004")}
+
+
+def test_below_a_loop(spark):
+    t = spark.createDataFrame([(1, 2, 1, None), (2, 1, 1, None), (3, 1, None, None), (4, 1, 2, "x"), (5, 4, 1, None), (6, None, 1, None)], "id long, parent_id long, child_seq long, deleted_at string")
+    roots = t.where("id IN (1, 6)").select("id")
+    assert {(r["root"], r["id"], r["distance"]) for r in work.subtree(t, roots).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 2), (6, 6, 0)}
+    assert [(r["id"], r["place"]) for r in work.descendants_in_order(t, roots).orderBy("place").collect()] == [(2, 1), (5, 2), (3, 3)]
+    assert work.subtree(t, roots.limit(0)).count() == 0
+
+
 def test_labels_and_prefixes(spark):
     labels = spark.createDataFrame([(1, "b"), (2, "a")], "id long, slug string")
     links = spark.createDataFrame([(5, 1), (5, 2), (5, 2), (6, 3)], "task_id long, label_id long")
