@@ -1,16 +1,17 @@
 """Passages of evaluation items inside a training corpus, by an FM-index per training shard.
 
-A shard is a run of documents of one partition. Its words become numbers of the items' vocabulary
-(every other word is 0); stretches too short to hold a passage are dropped, the rest gets a suffix
-order, its Burrows-Wheeler transform in a wavelet matrix and sampled suffix positions. All phrases
-of the items are searched backwards at once, the hits located and merged to spans.
+A shard is a run of documents of one partition. Its words become numbers of the vocabulary of all
+items (every other word is 0); stretches too short to hold a passage are dropped, the rest gets a
+suffix order, its Burrows-Wheeler transform in a wavelet matrix and sampled suffix positions. A
+shard is indexed once, and the phrases of every block of items are searched backwards in it, all of
+a block at a time, the hits located and merged to spans: the corpus is read in one pass.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessellar.llm.visual_forms import CYRILLIC, GREEK, consistent
+from tessellar.llm.visual_forms import Forms
 
 #: Consecutive words that make a leak.
 PHRASE_WORDS = 12
@@ -29,22 +31,34 @@ SHARD_WORDS, BLOCK_WORDS = 2_000_000, 500_000
 SAMPLE = 8
 
 WORD = re.compile(r"[^\W_]+")
-SPANS = "key long, item long, first_word long, last_word long"
+SPANS = "item long, first_word long, last_word long"
+OTHER_SCRIPT = re.compile("[\u0370-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1cbf\u2c80-\u2cff\uab70-\uabbf\U00010400-\U000104ff\U000118a0-\U000118ff]")
 
 
-#: Small letters whose capital, or they themselves, are drawn like a Latin letter, and the small form of that letter:
-#: without regard to case a word has no capitals that could tell its script.
-CASELESS = str.maketrans({k.casefold(): v.casefold() for k, v in (CYRILLIC | GREEK).items()})
-OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
+class Words:
+    """The words of texts in consistent form without regard to case: runs of letters and digits.
 
+    Without case a word has no capitals that could tell its script, so every letter whose capital, or
+    else it itself, is drawn like a Latin letter stands for the small form of that letter.
+    """
 
-def words_of(text: str) -> list[str]:
-    """The words of a text in consistent form without regard to case: runs of letters and digits."""
-    folded = consistent(text).casefold()
-    if not folded.isascii():
-        # Accented letters are looked up by their base; casefolding may take composed letters apart.
-        folded = ud.normalize("NFC", ud.normalize("NFD", folded).translate(CASELESS) if OTHER_SCRIPT.search(folded) else folded)
-    return WORD.findall(folded)
+    def __init__(self, forms: Forms):
+        self.forms = forms
+        small = {}
+        for ch, a in forms.letters.items():
+            if ch != ch.casefold() or ch.upper() not in forms.letters:
+                small[ch.casefold()] = a.casefold()
+        self.caseless = str.maketrans({k: v for k, v in small.items() if len(k) == 1})
+
+    def of(self, texts: list[str]) -> list[list[str]]:
+        out = []
+        for text in self.forms.texts(texts):
+            folded = text.casefold()
+            if not folded.isascii():
+                # Accented letters are looked up by their base; casefolding may take composed letters apart.
+                folded = ud.normalize("NFC", ud.normalize("NFD", folded).translate(self.caseless) if OTHER_SCRIPT.search(folded) else folded)
+            out.append(WORD.findall(folded))
+        return out
 
 
 class WaveletMatrix:
@@ -132,75 +146,82 @@ class FmIndex:
 
 @dataclass
 class Phrases:
-    """The phrases of a block of items: vocabulary, distinct windows of words, and the items each occurs in."""
+    """The phrases of a block of items: distinct windows of words as numbers, and the items each occurs in."""
 
-    vocabulary: dict[str, int]
     windows: np.ndarray
     items: np.ndarray
     items_from: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], length: int) -> Phrases | None:
-        vocabulary: dict[str, int] = {}
+    def of(cls, items: list[tuple[int, list[str]]], length: int, vocabulary: dict[str, int]) -> Phrases | None:
+        """Of (item, words); new words are added to the vocabulary."""
         found: dict[tuple[int, ...], list[int]] = {}
-        for item, text in items:
-            numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        for item, words in items:
+            if len(words) < length:
+                continue
+            numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
             for i in range(len(numbers) - length + 1):
-                owners = found.setdefault(tuple(numbers[i : i + length]), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
+                found.setdefault(tuple(numbers[i : i + length]), []).append(item)
         if not found:
             return None
         owners = [sorted(set(v)) for v in found.values()]
-        return cls(vocabulary, np.array(list(found), np.int64), np.array([x for o in owners for x in o], np.int64), np.concatenate([[0], np.cumsum([len(o) for o in owners])]))
+        return cls(np.array(list(found), np.int64), np.array([x for o in owners for x in o], np.int64), np.concatenate([[0], np.cumsum([len(o) for o in owners])]))
 
 
 class Shard:
     """Documents gathered until there are enough words for an index."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases, self.numbers, self.keys, self.lengths, self.words = phrases, [], [], [], 0
+    def __init__(self, vocabulary: dict[str, int], length: int):
+        self.vocabulary, self.length = vocabulary, length
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.keys, self.lengths, self.words = [], [], [], 0
 
-    def add(self, key: int, text: str) -> None:
-        words = words_of(text)
-        if len(words) < self.phrases.windows.shape[1]:
+    def add(self, key: object, words: list[str]) -> None:
+        if len(words) < self.length:
             return
-        numbers = np.fromiter(map(self.phrases.vocabulary.get, words, repeat(0)), np.int64, len(words))
-        self.numbers.append(numbers)
+        self.numbers.append(np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)))
         self.numbers.append(np.zeros(1, np.int64))
         self.keys.append(key)
         self.lengths.append(len(words) + 1)
         self.words += len(words) + 1
 
-    def spans(self) -> pa.RecordBatch | None:
-        """(key, item, first_word, last_word) of what the gathered documents hold; they are then dropped."""
+    def search(self, blocks: Callable[[], Iterator[Phrases]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(key, item, first_word, last_word) of what the gathered documents hold, for each block of phrases; they are then dropped."""
         if not self.keys:
-            return None
-        length = self.phrases.windows.shape[1]
-        numbers = np.concatenate(self.numbers)
+            return
+        length, numbers, keys = self.length, np.concatenate(self.numbers), self.keys
         starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        keys = np.array(self.keys, np.int64)
-        self.numbers, self.keys, self.lengths, self.words = [], [], [], 0
+        self.clear()
         known = np.concatenate([[False], numbers > 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
         first, end = edges[::2], edges[1::2]
         long = end - first >= length
         first, end = first[long], end[long]
         if not len(first):
-            return None
+            return
         size = end - first + 1
         into = np.cumsum(size) - size
         at = np.arange(int(size.sum())) + np.repeat(first - into, size)
         index = FmIndex(numbers[at])
-        phrase, low, high = index.search(self.phrases.windows)
+        for phrases in blocks():
+            found = self._spans(index, phrases, at, starts)
+            if found is not None:
+                document, *columns = found
+                yield pa.record_batch([pa.array([keys[d] for d in document.tolist()], kind), *map(pa.array, columns)], names=["key", "item", "first_word", "last_word"])
+
+    def _spans(self, index: FmIndex, phrases: Phrases, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        length = self.length
+        phrase, low, high = index.search(phrases.windows)
         count = high - low
         if not count.sum():
             return None
         rows = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
         word, phrase = at[index.locate(rows)], np.repeat(phrase, count)
         document = np.searchsorted(starts, word, side="right") - 1
-        owners = self.phrases.items_from[phrase + 1] - self.phrases.items_from[phrase]
-        item = self.phrases.items[np.arange(int(owners.sum())) + np.repeat(self.phrases.items_from[phrase] - (np.cumsum(owners) - owners), owners)]
+        owners = phrases.items_from[phrase + 1] - phrases.items_from[phrase]
+        item = phrases.items[np.arange(int(owners.sum())) + np.repeat(phrases.items_from[phrase] - (np.cumsum(owners) - owners), owners)]
         document, word = np.repeat(document, owners), np.repeat(word, owners)
         order = np.lexsort((word, item, document))
         document, item, word = document[order], item[order], word[order]
@@ -208,22 +229,7 @@ class Shard:
         fresh[1:] = (document[1:] != document[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + length)
         last = np.append(np.flatnonzero(fresh)[1:] - 1, len(word) - 1)
         begin = starts[document[fresh]]
-        return pa.record_batch([keys[document[fresh]], item[fresh], word[fresh] - begin, word[last] + length - 1 - begin], names=["key", "item", "first_word", "last_word"])
-
-
-def _search(phrases: Phrases, shard_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(phrases)
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard.add(key, text)
-                if shard.words >= shard_words:
-                    if (spans := shard.spans()) is not None:
-                        yield spans
-        if (spans := shard.spans()) is not None:
-            yield spans
-
-    return run
+        return document[fresh], item[fresh], word[fresh] - begin, word[last] + length - 1 - begin
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -241,18 +247,40 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     A span is a maximal stretch of words (counted from 0) covered by passages of at least
     ``phrase_words`` consecutive words of the item. Null or empty texts and null keys give no rows,
     items of fewer words none either; a document or item row that comes twice counts once; other
-    columns are not read. Documents stay where they are: nothing of them is shuffled but the spans.
+    columns are not read. Documents keep a key of any type, items have whole numbers. Documents stay
+    where they are: nothing of them is shuffled but the spans. The items are held-out material: their
+    vocabulary is broadcast whole, their phrases in blocks of which a task holds one at a time.
     """
-    texts = docs.where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).select(F.col(doc_key).cast("long").alias("key"), F.col(text).alias("text"))
-    out = None
+    context, forms = docs.sparkSession.sparkContext, Forms.of(docs.sparkSession)
+    words, vocabulary, blocks = Words(forms), {}, []
     for block in item_blocks(items, item_key, text, block_words):
-        phrases = Phrases.of(block, phrase_words)
+        phrases = Phrases.of(list(zip([i for i, _ in block], words.of([t for _, t in block]))), phrase_words, vocabulary)
         if phrases is not None:
-            spans = texts.mapInArrow(_search(phrases, shard_words), SPANS)
-            out = spans if out is None else out.unionByName(spans)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], SPANS)
-    return out.distinct().select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "first_word", "last_word")
+            blocks.append(context.broadcast(phrases))
+    shared = context.broadcast((words, vocabulary))
+    texts = docs.where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).select(F.col(doc_key).alias("key"), F.col(text).alias("text"))
+    spans = T.StructType([T.StructField("key", docs.schema[doc_key].dataType), *T._parse_datatype_string(SPANS).fields])
+
+    def each_block() -> Iterator[Phrases]:
+        for block in blocks:
+            yield block.value
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vocabulary = shared.value
+        shard, kind = Shard(vocabulary, phrase_words), None
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, found in zip(batch.column(0).to_pylist(), words.of(batch.column(1).to_pylist())):
+                shard.add(key, found)
+                if shard.words >= shard_words:
+                    yield from shard.search(each_block, kind)
+        if kind is not None:
+            yield from shard.search(each_block, kind)
+
+    found = texts.mapInArrow(run, spans) if blocks else docs.sparkSession.createDataFrame([], spans)
+    return found.distinct().select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "first_word", "last_word")
 
 
 def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar.llm.containers import fill_containers, fill_report
 from tessellar.llm.leaks import leaked_spans, leaks, removal_spans
-from tessellar.llm.visual_forms import CYRILLIC, GREEK, consistent_form, look_alike_pairs, look_classes
+from tessellar.llm.visual_forms import consistent_form, look_alike_pairs, look_classes
 from tessellar.sources.tables import table
 
 # Problem 7
@@ -51,6 +51,11 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     return look_classes(table(spark, sf, "documents"))
 
 
+# The look-alike letters the SQL knows, pairwise. They are written out here, apart from the operator's own table.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсхуѕіјһԁԛԝӏ", "ABESIJKMHOPCTXaeopcxysijhdqwl"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
+
+
 def sql_form(column: str) -> str:
     """The consistent form in SQL, as far as these tables' characters go, all in Latin letters."""
     wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]

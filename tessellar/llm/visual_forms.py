@@ -1,151 +1,221 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-Every code point that could differ in look-alike texts is exploded with its position, joined with a
-broadcast table of decompositions and look-alikes, put in the order of its combining class, and the
-text is rebuilt and recomposed. Runs of code points that are their own consistent form travel as one
-unit, and texts of nothing else are not exploded at all.
+Texts are exploded to positioned code points, a whole Arrow batch at once and where they lie, as
+arrays: nothing of them is shuffled. The code points are joined by position with a broadcast table
+of decompositions and look-alikes, combining marks are put in the order of their class by one
+stable sort, and the texts are recomposed and rebuilt. The look-alike letters are not listed here:
+they are all cased letters that Unicode's own data on confusable characters (as the ICU library of
+a Spark session holds it) calls like one Latin letter of the same case.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata as ud
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellar.session import cut
 
-# Letters of other scripts that are drawn like a Latin letter, pairwise.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсхуѕіјһԁԛԝӏ", "ABESIJKMHOPCTXaeopcxysijhdqwl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
-
-#: Decompositions of these kinds change the width or the kind of space, not the letter.
-WIDTH_TAGS = ("<wide>", "<narrow>", "<noBreak>")
+#: Decompositions of these kinds change the width, the kind of space or the typeface, not the letter.
+WIDTH_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Code points looked at. Ideographs and Hangul syllables outside them are their own form.
 BLOCKS = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
-#: Runs of stable code points that count as plain: the longest ones anywhere, and those of at least so many letters
-#: in the Latin, Greek and Cyrillic blocks (every further run slows the pattern down).
-PLAIN_RUNS, PLAIN_LETTERS = 14, 4
+#: Scripts whose words keep their letters; the first word of their letters' names.
+SCRIPTS = ("CYRILLIC", "GREEK", "COPTIC", "ARMENIAN", "GEORGIAN", "CHEROKEE", "DESERET", "OSAGE", "WARANG")
+LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 
-def _alike(ch: str) -> str:
-    """One code point of a canonical decomposition in its consistent form."""
-    category = ud.category(ch)
-    if category == "Cf" or ch in "͏ᅟᅠㅤﾠ" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF:
-        return ""
-    if category == "Zs":
-        return " "
-    if ch in CYRILLIC or ch in GREEK:
-        return CYRILLIC.get(ch) or GREEK[ch]
-    tag = ud.decomposition(ch).partition(" ")[0]
-    if tag in WIDTH_TAGS or tag == "<compat>" and (category == "Nl" or ch == "µ" or "LIGATURE" in ud.name(ch, "")):
-        return "".join(_alike(x) for x in ud.normalize("NFKD", ch))
-    return ch
+def script_of(ch: str) -> str:
+    """The script of a letter by its name; empty for all others."""
+    first = ud.name(ch, "").partition(" ")[0] if ud.category(ch)[0] == "L" else ""
+    return first if first in SCRIPTS else ""
 
 
-@lru_cache(maxsize=1)
-def forms() -> dict[str, str]:
-    """Every code point with a decomposition, a look-alike or a combining class, and its decomposed consistent form."""
-    out = {}
+def _code_points() -> Iterator[str]:
     for first, end in BLOCKS:
-        for c in range(first, end):
-            if 0xD800 <= c < 0xE000:
-                continue
-            ch = chr(c)
-            to = "".join(_alike(x) for x in ud.normalize("NFD", ch))
-            if to != ch or ud.category(ch)[0] == "M":
-                out[ch] = to
-    return out
-
-
-@lru_cache(maxsize=1)
-def plain_class() -> str:
-    """A character class, for Java and Python, of code points that stay as they are wherever they stand."""
-    table = forms()
-    runs: list[tuple[int, int]] = [(0, 0x7F)]
-    for first, end in (*BLOCKS, (0x3400, 0xA000), (0xAC00, 0xD7A4)):
-        start = None
-        for c in range(first, end + 1):
-            ch = chr(c) if c < min(end, 0xFFFF) and not 0xD800 <= c < 0xE000 else ""
-            # A form that composes back to the code point itself changes nothing.
-            same = ch and (ch not in table or ud.category(ch)[0] != "M" and ud.normalize("NFC", table[ch]) == ch) and not 0x1100 <= c < 0x1200
-            if same and start is None:
-                start = c
-            elif not same and start is not None:
-                runs.append((start, c - 1))
-                start = None
-    letters = [r for r in runs if r[0] < 0x100]
-    longest = sorted((r for r in runs if r[0] >= 0x100), key=lambda r: r[0] - r[1])[: PLAIN_RUNS - len(letters)]
-    near = [r for r in runs if 0x100 <= r[0] < 0x460 and r[1] - r[0] + 1 >= PLAIN_LETTERS]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in sorted({*letters, *longest, *near}))
+        yield from (chr(c) for c in range(first, end) if not 0xD800 <= c < 0xE000)
 
 
 @lru_cache(maxsize=1)
-def _translation() -> tuple[re.Pattern, dict[int, str]]:
-    return re.compile(f"[^{plain_class()}]"), {ord(k): v for k, v in forms().items() if v != k}
-
-
-# Words in which letters proper to one script stand keep that script's look-alikes.
-BACK = {"CYRILLIC": {v: k for k, v in CYRILLIC.items()}, "GREEK": {v: k for k, v in GREEK.items()}}
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
-OWN_LETTERS = {"CYRILLIC": re.compile("[Ѐ-ԯ]"), "GREEK": re.compile("[Ͱ-Ͽ]")}
-LATIN_ONLY = {
-    script: re.compile("[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in back) + "]") for script, back in BACK.items()
-}
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Each cased letter that looks like one Latin letter of its case, and that letter.
 
-
-def _in_script(text: str) -> str:
-    """Latin letters that only stand for look-alikes go back to the script of their word.
-
-    A word with letters proper to Cyrillic (or Greek) and none proper to Latin is written in that
-    script throughout; every other word stays in Latin. It is a function of the look alone, and
-    different texts stay different.
+    Where several letters of one script look like the same one, only the first of them counts, as
+    the others are letters of their own beside it; so does a letter whose capital is another Latin one.
     """
-    for script, own in OWN_LETTERS.items():
-        if own.search(text):
-            back, latin = str.maketrans(BACK[script]), LATIN_ONLY[script]
-            text = WORD.sub(lambda m, own=own, back=back, latin=latin: m[0].translate(back) if own.search(m[0]) and not latin.search(m[0]) else m[0], text)
-    return text
-
+    letters = [ch for ch in _code_points() if ud.category(ch) in ("Lu", "Ll") and not ud.decomposition(ch)]
+    skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join([*LATIN, *letters])).split("\n")
+    if len(skeletons) != len(LATIN) + len(letters):
+        raise ValueError("the skeletons do not match the letters")
+    plain: dict[tuple[str, str], str] = {}
+    for a, s in zip(LATIN, skeletons):
+        plain.setdefault((s, ud.category(a)), a)
+    out, seen = {}, set()
+    for ch, s in zip(letters, skeletons[len(LATIN) :]):
+        a = plain.get((s, ud.category(ch)))
+        capital = ch.upper()
+        if a is None or capital.isascii() and capital != a.upper() or (script_of(ch) and (script_of(ch), a) in seen):
+            continue
+        seen.add((script_of(ch), a))
+        out[ch] = a
+    return out
 
-def recompose(text: str) -> str:
-    """The last step for an exploded text: its words in one script, its accents composed."""
-    return ud.normalize("NFC", _in_script(ud.normalize("NFD", text)))
 
+def _alike(ch: str, letters: dict[str, str]) -> str:
+    """One code point of a canonical decomposition in its consistent form."""
+    category = ud.category(ch)
+    if category == "Cf" or ch in "͏ᅟᅠㅤﾠ" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF:
+        return ""
+    if category == "Zs":
+        return " "
+    if ch in letters:
+        return letters[ch]
+    tag = ud.decomposition(ch).partition(" ")[0]
+    if tag in WIDTH_TAGS or tag == "<compat>" and (category == "Nl" or ch == "µ" or "LIGATURE" in ud.name(ch, "")):
+        return "".join(_alike(x, letters) for x in ud.normalize("NFKD", ch))
+    return ch
 
-def consistent(text: str) -> str:
-    """The consistent form of one text, as ``consistent_form`` gives it for a table."""
-    if text.isascii():
-        return text
-    odd, table = _translation()
-    if not odd.search(text):
-        return text
-    return recompose(ud.normalize("NFD", text).translate(table))
 
+class Forms:
+    """The consistent form of texts; small to send, its lookup arrays are made where they are used."""
 
-def _recomposed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else recompose(t))
+    def __init__(self, letters: dict[str, str]):
+        self.letters = letters
+        #: Every code point with a decomposition, a look-alike or a combining class, and its decomposed consistent form.
+        self.table: dict[str, str] = {}
+        for ch in _code_points():
+            to = "".join(_alike(x, letters) for x in ud.normalize("NFD", ch))
+            if to != ch or ud.category(ch)[0] == "M":
+                self.table[ch] = to
+        #: By script, the letter of it that a Latin letter stands for.
+        self.back: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
+        for ch, a in letters.items():
+            if script_of(ch):
+                self.back[script_of(ch)].setdefault(a, ch)
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Forms:
+        return _forms(spark)
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """By code point: its row in the table (or -1), whether it changes a text by itself, its class, whether it is of a script kept."""
+        size = 0x110000
+        row, changes, marks, kept = np.full(size, -1, np.int32), np.zeros(size, bool), np.zeros(size, np.uint8), np.zeros(size, bool)
+        codes = [ord(ch) for ch in self.table]
+        row[codes] = np.arange(len(codes))
+        forms = list(self.table.values())
+        changes[codes] = [ud.combining(ch) > 0 or ud.normalize("NFC", to) != ch for ch, to in self.table.items()]
+        # Jamo are composed whether they are in the table or not.
+        changes[0x1100:0x1200] = True
+        for ch in self.table:
+            marks[ord(ch)] = ud.combining(ch)
+        for ch in _code_points():
+            if ord(ch) < 0x20000 and script_of(ch):
+                kept[ord(ch)] = True
+        lengths = np.array([len(f) for f in forms], np.int64)
+        return row, changes, marks, kept, lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]]), _exploded("".join(forms))
+
+    def texts(self, texts: list[str | None]) -> list[str | None]:
+        """The consistent forms of many texts at once; null stays null."""
+        out = list(texts)
+        odd = [i for i, t in enumerate(texts) if t and not t.isascii()]
+        if odd:
+            some = [texts[i] for i in odd]
+            points = _exploded("".join(some))
+            ends = np.cumsum([len(t) for t in some])
+            touched = np.logical_or.reduceat(self._arrays[1][points], np.concatenate([[0], ends[:-1]]))
+            if touched.any():
+                which = np.flatnonzero(touched)
+                inside = np.repeat(touched, np.diff(ends, prepend=0))
+                for i, form in zip(which, self._rebuilt(points[inside], np.diff(ends, prepend=0)[which])):
+                    out[odd[i]] = form
+        return out
+
+    def _rebuilt(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[str]:
+        row, _, classes, kept, lengths, starts, flat = self._arrays
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        # Joined by position: each code point becomes those of its form, none for an invisible one.
+        at = row[points]
+        count = np.where(at >= 0, lengths[at], 1)
+        source = np.repeat(np.arange(len(points)), count)
+        k = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+        joined = at[source]
+        points, owner = np.where(joined >= 0, flat[np.where(joined >= 0, starts[joined] + k, 0)], points[source]), owner[source]
+        # Ordered: marks behind one letter by class, those of one class as they come.
+        mark = classes[points]
+        if mark.any():
+            run = np.cumsum((mark == 0) | np.concatenate([[True], owner[1:] != owner[:-1]]))
+            points = points[np.lexsort((mark, run))]
+        ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))
+        scripts = np.bincount(owner, kept[points], minlength=len(sizes)) > 0
+        raw = points.astype("<u4").tobytes()
+        first = 0
+        for end, script in zip(ends.tolist(), scripts):
+            text = raw[4 * first : 4 * end].decode("utf-32-le")
+            yield ud.normalize("NFC", self._in_script(text) if script else text)
+            first = end
+
+    def text(self, text: str) -> str:
+        """The consistent form of one text."""
+        return self.texts([text])[0]
+
+    @cached_property
+    def _backs(self) -> dict[str, tuple[dict[int, str], frozenset[str]]]:
+        return {s: (str.maketrans(back), frozenset(back)) for s, back in self.back.items()}
+
+    def _script(self, word: str) -> str:
+        """The script a word is written in: a name of SCRIPTS, LATIN, or nothing where its letters could be of several."""
+        own = {s for s in map(_script_cached, word) if s}
+        latin = [c for c in word if c.isascii()]
+        if not own:
+            return "LATIN" if any(all(c not in b for _, b in self._backs.values()) for c in latin) else ""
+        if len(own) == 1:
+            (script,) = own
+            return script if all(c in self._backs[script][1] for c in latin) else "LATIN"
+        return "LATIN"
+
+    def _in_script(self, text: str) -> str:
+        """Latin letters that only stand for look-alikes go back to the script of their word.
+
+        A word with letters proper to one script and none proper to Latin is written in that script
+        throughout; one whose letters could be of several goes with the nearest word before it that
+        is certain, else after it. A function of the look alone, so different texts stay different.
+        """
+        words = list(WORD.finditer(text))
+        scripts = [self._script(m[0]) for m in words]
+        before = next((s for s in scripts if s), "")
+        out, at = [], 0
+        for m, script in zip(words, scripts):
+            before = script or before
+            if before in self._backs:
+                out += [text[at : m.start()], m[0].translate(self._backs[before][0])]
+                at = m.end()
+        return "".join([*out, text[at:]])
+
+
+@lru_cache(maxsize=4096)
+def _script_cached(ch: str) -> str:
+    return script_of(ch)
 
 
-def forms_frame(spark: SparkSession) -> DataFrame:
-    """(ch, form) for the broadcast join; about 6,000 rows whatever the corpus."""
-    return spark.createDataFrame(list(forms().items()), "ch string, form string")
+@lru_cache(maxsize=1)
+def _forms(spark: SparkSession) -> Forms:
+    return Forms(look_alikes(spark))
 
 
-def _classes(chars: str) -> str:
-    """Marks with a combining class, and what is invisible between them, as a class behind a cheap test."""
-    runs: list[list[int]] = []
-    for c in sorted(ord(x) for x in chars):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+def _exploded(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def consistent_form(docs: DataFrame, text: str = "text", out: str = "consistent") -> DataFrame:
@@ -153,54 +223,20 @@ def consistent_form(docs: DataFrame, text: str = "text", out: str = "consistent"
 
     Null stays null and empty empty; a text of invisible characters only becomes empty. Rows are
     kept one for one, repeated rows and all other columns included (a column ``out`` of ``docs`` is
-    replaced). Texts of any length: a text's units meet in one task, no more than that text.
+    replaced). Texts of any length; a batch of texts is in memory at once. Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    plain = plain_class()
-    marks = "".join(ch for ch, to in forms().items() if ud.combining(ch) or to == "" and ud.category(ch) == "Cf")
+    forms = docs.sparkSession.sparkContext.broadcast(Forms.of(docs.sparkSession))
     columns = [c for c in docs.columns if c != out]
-    source = docs.select(*columns)
-    # Most texts are ASCII, which two lengths tell; in the rest the cheap test stands before the class.
-    odd = F.coalesce((F.octet_length(text) != F.length(text)) & F.col(text).rlike(f"[^\\x00-\\x7f&&[^{plain}]]"), F.lit(False))
-    as_is = source.where(~odd).withColumn(out, F.col(text))
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)([{plain}]+|(?=[\\p{{M}}\\p{{Cf}}])[{_classes(marks)}]+|[^{plain}\\p{{M}}\\p{{Cf}}]+|.)"), F.lit(1))
-    # The id is given before the generator, which would otherwise count its own rows.
-    numbered = source.where(odd).withColumn("__uid", F.monotonically_increasing_id())
-    rows = numbered.select("__uid", F.struct(*columns).alias("__row"), F.posexplode(pieces).alias("__pos", "__piece"))
-    unit = F.when(F.col("__piece").rlike(f"^[{plain}]"), F.array("__piece")).otherwise(F.regexp_extract_all("__piece", F.lit("(?s)."), F.lit(0)))
-    units = rows.select(
-        "__uid",
-        "__pos",
-        F.col("__piece").rlike("^[\\p{M}\\p{Cf}]").alias("__marks"),
-        F.when(F.col("__pos") == 0, F.col("__row")).alias("__row"),
-        F.posexplode(unit).alias("__k", "__unit"),
-    )
-    table = forms_frame(spark).select("ch", "form", _class_column().alias("class"))
-    mapped = units.join(F.broadcast(table), F.col("__unit") == F.col("ch"), "left").select(
-        "__uid",
-        F.when(F.col("__k") == 0, F.col("__row")).alias("__row"),
-        F.struct(
-            F.col("__pos").alias("pos"),
-            F.when(F.col("__marks"), F.coalesce("class", F.lit(0))).otherwise(0).alias("class"),
-            F.col("__k").alias("k"),
-            F.coalesce("form", "__unit").alias("form"),
-        ).alias("__u"),
-    )
-    rebuilt = mapped.groupBy("__uid").agg(F.first("__row", ignorenulls=True).alias("__row"), F.array_join(F.transform(F.array_sort(F.collect_list("__u")), lambda u: u["form"]), "").alias("__text"))
-    finish = F.pandas_udf(_recomposed, "string")
-    return as_is.unionByName(rebuilt.select("__row.*", finish("__text").alias(out)))
-
-
-def _class_column() -> Column:
-    """The combining class of ``ch``: from a short map of the classes of marks, 0 for all else."""
-    by_class: dict[int, list[str]] = {}
-    for ch in forms():
-        if ud.combining(ch):
-            by_class.setdefault(ud.combining(ch), []).append(ch)
-    c = F.lit(0)
-    for number, chars in sorted(by_class.items()):
-        c = F.when(F.col("ch").isin(chars), number).otherwise(c)
-    return c
+    at = columns.index(text) if text in columns else len(columns)
+    source = docs.select(*columns) if text in columns else docs.select(*columns, text)
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(forms.value.texts(batch.column(at).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], made], names=[*columns, out])
+
+    return source.mapInArrow(run, schema)
 
 
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,21 +245,31 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Null and empty texts make no pair, nor do equal ones. Where a text has exact copies, each of
     its documents is paired with the smallest document of every other text of that look (and the
     smallest with all theirs), so no link between different texts is lost and copies are not
-    expanded against copies. A key that several rows share counts as one document.
+    expanded against copies. A key that several rows share counts as one document. As many rows as
+    there are pairs of spellings; ``look_classes`` gives the same classes in one row a document.
     """
     return _pairs(cut(hashed_forms(docs, key, text)), key)
 
 
 def hashed_forms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, raw, look): 256-bit hashes of each non-empty text and of its consistent form."""
+    """(key, raw, look): 256-bit hashes of each non-empty text and of its consistent form; the texts go nowhere."""
+    forms = docs.sparkSession.sparkContext.broadcast(Forms.of(docs.sparkSession))
     some = docs.where(F.length(text) > 0).select(key, text)
-    return consistent_form(some, text, "__look").select(key, F.unhex(F.sha2(text, 256)).alias("raw"), F.unhex(F.sha2("__look", 256)).alias("look"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            raw = [hashlib.sha256(t.encode()).digest() for t in texts]
+            look = [r if f == t else hashlib.sha256(f.encode()).digest() for t, f, r in zip(texts, forms.value.texts(texts), raw)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(look, pa.binary())], names=[key, "raw", "look"])
+
+    return some.mapInArrow(run, T.StructType([docs.schema[key], T.StructField("raw", T.BinaryType()), T.StructField("look", T.BinaryType())]))
 
 
 def _pairs(hashed: DataFrame, key: str) -> DataFrame:
     texts = hashed.groupBy("look", "raw").agg(F.min(key).alias("first"))
     mixed = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
-    several = texts.join(mixed, "look", "left_semi")
+    several = cut(texts.join(mixed, "look", "left_semi"))
     other = several.select("look", F.col("raw").alias("other_raw"), F.col("first").alias("other"))
     links = several.join(other, "look").where(F.col("raw") != F.col("other_raw")).select("raw", "other")
     both = hashed.select("raw", F.col(key).alias("doc")).join(links, "raw").where(F.col("doc") != F.col("other"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
-from tessellar.llm.leaks import FmIndex, leaked_spans, leaks, removal_spans, suffix_order, words_of
+from tessellar.llm.leaks import FmIndex, Words, leaked_spans, leaks, removal_spans, suffix_order
+from tessellar.llm.visual_forms import Forms
 
 
 def test_suffix_order_and_search():
@@ -29,7 +31,7 @@ def test_suffix_order_and_search():
             assert found.get(k, []) == [i for i in range(len(text)) if text[i : i + 3] == p]
 
 
-def brute(docs, items, n):
+def brute(docs, items, n, words_of):
     grams = {}
     for i, t in items:
         w = words_of(t or "")
@@ -43,7 +45,13 @@ def brute(docs, items, n):
     return out
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.fixture(scope="module")
+def words_of(spark):
+    words = Words(Forms.of(spark))
+    return lambda text: words.of([text])[0]
+
+
+def test_leaks_against_brute_force(spark, words_of):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 30)))) for i in range(15)] + [(15, None), (16, ""), (3, "another text of item three that is long enough")]
@@ -57,9 +65,10 @@ def test_leaks_against_brute_force(spark):
         docs.append((d, " ".join(parts)))
     docs += [(80, None), (81, ""), (82, "ｗ１ " * 5000), (5, docs[5][1])]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = brute(docs, items, 5)
+    want = brute(docs, items, 5, words_of)
     assert {tuple(r) for r in leaks(d, i, phrase_words=5).collect()} == want
-    # Shards and blocks of any size give the same.
+    # Keys of any type; shards and blocks of any size give the same.
+    assert {tuple(r) for r in leaks(d.selectExpr("concat('d', doc_id) AS doc_id", "text"), i, phrase_words=5).collect()} == {(f"d{a}", b) for a, b in want}
     assert {tuple(r) for r in leaks(d, i, phrase_words=5, shard_words=40, block_words=20).collect()} == want
     spans = leaked_spans(d, i, phrase_words=5).collect()
     text = dict(docs)
@@ -75,7 +84,7 @@ def test_whole_form_counts(spark):
     assert [tuple(r) for r in got] == [(1, 9)]
 
 
-def test_case_of_other_scripts_is_ignored(spark):
+def test_case_of_other_scripts_is_ignored(spark, words_of):
     russian = "Все они шли тем же путём, когда ёж ел тот снег у моста и там ВСЁ кончилось"
     greek = "Το νερό και τα τείχη του κάστρου τα είδε ο ταξιδιώτης από τη μικρή πύλη"
     mixed = russian.replace("тем", "ТЕМ").replace("тот", "Тот").replace("Все", "все")
