@@ -510,5 +510,5 @@ def check(tokens) -> None:
         return
     try:
         cursor.file()
-    except (IndexError, RecursionError) as e:
+    except IndexError as e:
         raise Fault(type(e).__name__) from None

@@ -3,8 +3,7 @@
 A lexer starts in a mode (code, or inside a comment, string or template that runs over lines) on a
 stack of open brackets and contexts, and ends in another. A chunk of a file is summed up for each
 mode it may start in: the mode it ends in, the closing brackets it takes from before and the ones
-it leaves open. Summaries of neighbouring chunks join; only where a chunk closes a context that it
-cannot know (a template or an element around it) it is lexed again with the state known by then.
+it leaves open. Neighbouring chunks join to one that is summed up the same way, in any order.
 """
 
 from __future__ import annotations
@@ -406,37 +405,72 @@ class Summary:
     fault: str = ""
 
 
-def summarise(text: str, language: str) -> dict[str, Summary]:
-    """The summary of a chunk (whole lines) for every mode it may start in."""
-    lexer, options, modes = LEXERS[language]
-    out = {}
-    for mode in modes:
-        state = State(mode=mode, partial=True)
-        try:
-            lexer(text, state, None, **options)
-            out[mode] = Summary(state.mode, tuple(state.closed), tuple(state.stack))
-        except Fault as e:
-            out[mode] = Summary(fault=str(e), closed=tuple(state.closed))
-    return out
-
-
-def follow(mode: str, stack: list[str], chunk: str, language: str, summaries: dict[str, Summary]) -> tuple[str, list[str]]:
-    """Mode and stack after a chunk; raises Fault."""
-    known = summaries.get(mode)
-    # Contexts that the chunk closes or starts in decide how its text is read.
-    context = any(s in ("`", "${") or s.startswith("<") for s in stack[len(stack) - len(known.closed) if known else 0 :])
-    below = stack[: len(stack) - len(known.closed)] if known else stack
-    inside = any(s[-1] == "`" or s[-1].startswith("<") for s in (stack, below) if s)
-    if known is None or known.fault or context or inside:
-        lexer, options, _ = LEXERS[language]
-        state = State(mode=mode, stack=list(stack))
-        lexer(chunk, state, None, **options)
-        return state.mode, state.stack
-    stack = list(stack)
-    for bracket in known.closed:
-        if not stack or stack.pop() != PAIRS[bracket]:
-            raise Fault(f"{bracket} closes nothing of its kind")
-    return known.mode, stack + list(known.opened)
+def joined(first: Summary, second: Summary) -> Summary:
+    """What two neighbouring chunks do, ``second`` being what the latter does in the mode the first one ends in. Associative."""
+    if first.fault or second.fault:
+        return Summary(fault=first.fault or second.fault)
+    closed, opened = list(first.closed), list(first.opened)
+    for bracket in second.closed:
+        if not opened:
+            closed.append(bracket)
+        elif opened.pop() != PAIRS[bracket]:
+            return Summary(fault=f"{bracket} closes nothing of its kind")
+    return Summary(second.mode, tuple(closed), (*opened, *second.opened))
+
+
+class Chunk:
+    """A chunk, or several neighbouring ones, as a map from what it may start in to its summary.
+
+    A start is a mode and, where a script has templates or elements open, all that is open: how such
+    a chunk reads depends on them. The maps hold every mode a line may start in (of a file's first
+    chunk only the one it does start in); any other start is looked up when it is asked for.
+    """
+
+    def __init__(self, text: str, language: str, first: bool = False):
+        self.text, self.language = text, language
+        self.known: dict[tuple, Summary] = {}
+        for mode in (CODE,) if first else LEXERS[language][2]:
+            self.run(mode)
+
+    def run(self, mode: str, context: tuple[str, ...] = ()) -> Summary:
+        if (mode, context) not in self.known:
+            lexer, options, _ = LEXERS[self.language]
+            state = State(mode=mode, stack=list(context), partial=True)
+            try:
+                lexer(self.text, state, None, **options)
+                self.known[mode, context] = Summary(state.mode, tuple(state.closed), tuple(state.stack))
+            except Fault as e:
+                self.known[mode, context] = Summary(fault=str(e))
+        return self.known[mode, context]
+
+
+class Chunks:
+    """Two neighbours as one."""
+
+    def __init__(self, left: Chunk | Chunks, right: Chunk | Chunks):
+        self.left, self.right = left, right
+        #: Starts that both sides know already.
+        self.known = {start: self._joined(s) for start, s in left.known.items()}
+
+    def _joined(self, s: Summary) -> Summary:
+        if s.fault:
+            return s
+        if any(x[0] in "`<$" for x in s.opened):
+            after = self.right.run(s.mode, s.opened)
+            return Summary(after.mode, (*s.closed, *after.closed), after.opened, after.fault)
+        return joined(s, self.right.run(s.mode))
+
+    def run(self, mode: str, context: tuple[str, ...] = ()) -> Summary:
+        if (mode, context) not in self.known:
+            self.known[mode, context] = self._joined(self.left.run(mode, context))
+        return self.known[mode, context]
+
+
+def merge(chunks: list[Chunk | Chunks]) -> Chunk | Chunks:
+    """Neighbours, at least one, joined pairwise until one is left; any other way of joining gives the same maps."""
+    while len(chunks) > 1:
+        chunks = [Chunks(*chunks[i : i + 2]) if i + 1 < len(chunks) else chunks[i] for i in range(0, len(chunks), 2)]
+    return chunks[0]
 
 
 def finish(mode: str, stack: list[str]) -> None:

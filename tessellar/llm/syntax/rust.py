@@ -905,5 +905,5 @@ def check(tokens) -> None:
     cursor = Rust(tokens)
     try:
         cursor.file()
-    except (IndexError, RecursionError) as e:
+    except IndexError as e:
         raise Fault(type(e).__name__) from None

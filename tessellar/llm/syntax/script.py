@@ -1104,5 +1104,5 @@ def check(tokens, typed: bool, jsx: bool) -> None:
     cursor = Script(tokens, typed, jsx)
     try:
         cursor.file()
-    except (IndexError, RecursionError) as e:
+    except IndexError as e:
         raise Fault(type(e).__name__) from None

@@ -76,6 +76,45 @@ def test_chunks_agree_on_cut_texts():
                 assert (fault_of(cut, language) is None) == (fault_of(cut, language, 25) is None), (language, cut)
 
 
+def test_merging_in_any_order():
+    """The law of the maps: however neighbours are joined, the whole says the same for every start."""
+    from tessellar.llm.parsing import chunks_of
+    from tessellar.llm.syntax.lexing import LEXERS, Chunk, Chunks, merge
+
+    rng = random.Random(4)
+    for language in ("rust", "go", "javascript", "tsx"):
+        for text in [*VALID[language], *FAULTY[language]]:
+            parts = chunks_of(text, 15)
+            if len(parts) < 3:
+                continue
+            merged = merge([Chunk(c, language) for c in parts])
+            for _ in range(4):
+                some = [Chunk(c, language) for c in parts]
+                while len(some) > 1:
+                    i = rng.randrange(len(some) - 1)
+                    some[i : i + 2] = [Chunks(some[i], some[i + 1])]
+                for mode in LEXERS[language][2]:
+                    a, b = merged.run(mode), some[0].run(mode)
+                    assert bool(a.fault) == bool(b.fault) and (a.fault or a == b), (language, text, mode)
+
+
+@pytest.mark.parametrize(("language", "head", "tail"), [("rust", "fn f() { let x = ", "; }"), ("go", "package a\nvar x = ", "\n"), ("javascript", "x = ", ";"), ("typescript", "x = ", ";"), ("tsx", "x = ", ";"), ("python", "x = ", "\n")])
+def test_depth_is_no_fault(language, head, tail):
+    n = 10_000
+    text = head + "(" * n + "1" + ")" * n + tail
+    assert fault_of(text, language) is None
+    assert fault_of(text.replace(")", "", 1), language) is not None and fault_of(text.replace("1", "1 1"), language) is not None
+
+
+def test_parts_of_python():
+    n = 300
+    for inner in ("a=1", "*b", "i for i in c", "lambda: (yield)", "d := 2"):
+        assert fault_of("f(" * n + inner + ")" * n, "python") is None, inner
+    assert fault_of("x" + "[" * n + "1:2" + "]" * n, "python") is not None and fault_of("x[" * n + "1:2" + "]" * n, "python") is None
+    assert fault_of("x = " + "{1: [" * n + "]}" * n + "\nif (y):\n    pass\n", "python") is None
+    assert fault_of("x = " + "1 + " * 200_000 + "1", "python") is None
+
+
 def test_language():
     assert [language_of(p) for p in ("a/b.RS", "x.Tsx", "y.jsx", "z.md", "none", None, "a.py")] == ["rust", "tsx", "javascript", None, None, None, "python"]
 
@@ -86,6 +125,7 @@ def test_files(spark):
     files = spark.createDataFrame(rows, "file_id long, repo string, path string, source string").selectExpr("*", "'x' AS language", "1 AS chunk")
     faults = {r["file_id"]: r["fault"] for r in file_faults(files).collect()}
     assert set(faults) == {1, 2, 4, 5, 7, 8} and {k for k, v in faults.items() if v} == {2, 8}
+    assert {r["file_id"]: bool(r["fault"]) for r in file_faults(files, chunk=900, spread=20_000).collect()} == {k: bool(v) for k, v in faults.items()}
     rates = {(r["repo"], r["language"]): (r["files"], r["invalid"], r["share"]) for r in fault_rates(files, file_faults(files)).collect()}
     assert rates == {("r", "rust"): (2, 1, 0.5), ("s", "go"): (2, 0, 0.0), ("s", "rust"): (2, 1, 0.5)}
     assert file_faults(files.limit(0)).count() == 0
