@@ -1,10 +1,11 @@
 """Clean text from HTML, Markdown, wiki and LaTeX markup, by tag-path ratios.
 
 A text is parsed into a sequence of leaf nodes, each with its root-to-leaf tag path; plain text has
-the path ``text``. Over all texts the length and punctuation per path give each path two ratios,
-which are smoothed over neighbouring paths, fused and thresholded: paths above the threshold, and
-those that carry structure (headings, lists, code, formulas, tables), are content. The clean text
-of a row is what its content nodes say, headings, lists, code blocks and formulas marked plainly.
+the path ``text``. Over all texts the length, the punctuation and the signs of markup per path are
+aggregated to ratios, smoothed over neighbouring paths, fused and thresholded. Paths that signs of
+markup belong to are markup: they tell which texts have any. The length and punctuation of paths
+without what only decorates (their blocks) tell which nodes are content. The clean text of a row is
+what its content nodes say, with headings, lists, code blocks and formulas marked plainly.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellar.session import cut
+from tessellar.session import cut, sized_broadcast
 
 # Names that tell markup from signs in their plain meaning.
 HTML_TAGS = (
@@ -33,12 +34,15 @@ LATEX_WORDS = (
     " div pm leq geq neq approx equiv sim infty sum prod int log ln exp sin cos tan lim min max to rightarrow leftarrow in notin subset cup cap forall exists partial nabla left"
     " right quad qquad bfseries itshape LaTeX TeX le ge ne"
 )
-#: Paths of these kinds carry structure and are content whatever their ratios.
-STRUCTURE = ("text", "heading", "item", "code", "formula", "cell", "quote", "term", "break")
-#: Kinds that only decorate the text in them; what is in them has the standing of the text around.
-INLINE = ("strong", "emphasis", "strike", "link", "tag", "entity", "autolink", "escape", "command", "quotes")
-#: Nodes deeper than this share the path of their ancestor there, so the number of paths is bounded.
-MAX_DEPTH = 6
+#: Kinds of nodes that carry structure, and tags whose text has it; they stay whatever their ratios.
+STRUCTURE = ("heading", "item", "code", "formula", "cell", "quote", "term", "break")
+STRUCTURED = frozenset("text heading item code formula cell quote term li td th dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
+#: Names that only decorate the text in them: it has the standing of the text around. So have the names of the languages.
+INLINE = frozenset(
+    "html markdown wiki latex strong emphasis strike link tag entity autolink escape command quotes word a abbr b cite del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var body br hr img nowiki cut p div section article main".split()
+)
+#: Share of signs of markup, smoothed and fused, from which a path is one of markup.
+MARKED = 0.001
 
 TAGS = "|".join(sorted(HTML_TAGS.split(), key=len, reverse=True))
 ATTRIBUTE = r"""[A-Za-z_:@][\w:.-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
@@ -118,7 +122,7 @@ SIGNS = re.compile(FRONT + r"[a-z]{2,7};|[<>&#*_`~\[\]{}|\\$=+!•]|''|^[ \t]*(?
 MARKS = str.maketrans("", "", "«»")
 PUNCTUATION = re.compile(r"[.,;:!?…]")
 
-NODE = "path string, kind string, text string, letters int, signs int"
+NODE = "path string, block string, kind string, text string, letters int, signs int, marks int"
 NODES = f"array<struct<{NODE}>>"
 
 
@@ -166,7 +170,7 @@ class Parser:
     """Leaf nodes of one text in order."""
 
     def __init__(self, text: str):
-        self.nodes: list[tuple[str, str, str, int, int]] = []
+        self.nodes: list[list] = []
         #: HTML elements that are open, outermost first.
         self.open: list[str] = []
         if "\n=" in text or "\n-" in text or "\n " in text:
@@ -177,7 +181,10 @@ class Parser:
         """Adds a node: ``text`` is what it gives to the clean text, ``said`` what its ratios are taken of."""
         said = text if said is None else said
         full = ("html", *self.open, *(path[1:] if path[:1] == ("html",) else path)) if self.open else path
-        self.nodes.append(("/".join(full[:MAX_DEPTH]) or "text", kind, text, len(said.strip()), len(PUNCTUATION.findall(said))))
+        # A name that comes again counts where it stands deepest, so paths end in their leaf and are no longer than there are names.
+        names = list(dict.fromkeys(reversed(full)))[::-1]
+        block = "/".join(n for n in names if n not in INLINE) or "text"
+        self.nodes.append(["/".join(names) or "text", block, kind, text, len(said.strip()), len(PUNCTUATION.findall(said)), 0])
 
     def plain(self, text: str, path: tuple[str, ...]) -> None:
         if text:
@@ -194,7 +201,10 @@ class Parser:
                 continue
             before = text[at : m.start()]
             self.plain(ATTRIBUTE_NAME.sub("", before) if m.lastgroup == "cut_tag" else before, path)
+            first = len(self.nodes)
             getattr(self, "on_" + m.lastgroup)(m, path)
+            # What the piece takes up beyond what its nodes say are signs of markup.
+            self.nodes[first][6] += max(1, len(m[0]) - sum(n[4] + n[6] for n in self.nodes[first:]))
             at = pos = m.end()
         self.plain(text[at:], path)
 
@@ -324,7 +334,7 @@ class Parser:
         body = m["template_body"]
         for k, argument in enumerate((body or "").split("|")):
             name, eq, value = argument.partition("=")
-            self.leaf((*path, "wiki", "template", "name" if not k else name.strip() if eq else "argument"), "template", value if eq else argument, value if eq else argument)
+            self.leaf((*path, "wiki", "template", "name" if not k else "named" if eq else "argument"), "template", value if eq else argument, value if eq else argument)
 
     def on_image(self, m, path):
         self.inner(m["image_alt"], path, "markdown", "image")
@@ -431,18 +441,47 @@ class Parser:
         self.inner(m["strike_body"] or m["strike_cut"], path, "markdown", "strike")
 
 
-def parse(text: str | None) -> list[tuple[str, str, str, int, int]]:
-    """(path, kind, text, letters, signs) of the leaf nodes; none for null or empty text."""
+def parse(text: str | None) -> list[list]:
+    """[path, block, kind, text, letters, signs, marks] of the leaf nodes; none for null or empty text."""
     return Parser(text).nodes if text else []
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = pa.struct([("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("letters", pa.int32()), ("signs", pa.int32())])
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        parsed = [[dict(zip(("path", "kind", "text", "letters", "signs"), n)) for n in parse(t)] for t in texts]
-        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.record_batch([*columns, pa.array(parsed, pa.list_(fields))], names=[*batch.schema.names[:-1], "nodes"])
+        parsed = [parse(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield _with_lists(batch, parsed, NODE_FIELDS, "nodes")
+
+
+#: Names and types of a node's parts, and of those of a path of a row.
+NODE_FIELDS = [("path", pa.string()), ("block", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("letters", pa.int32()), ("signs", pa.int32()), ("marks", pa.int32())]
+PATH_FIELDS = [("path", pa.string()), ("block", pa.string()), ("nodes", pa.int32()), ("letters", pa.int32()), ("signs", pa.int32()), ("marks", pa.int32())]
+PATHS = "array<struct<path string, block string, nodes int, letters int, signs int, marks int>>"
+
+
+def _with_lists(batch: pa.RecordBatch, rows: list[list], fields: list, name: str) -> pa.RecordBatch:
+    """The columns of a batch but the last, and a list of structs for each row."""
+    flat = [x for r in rows for x in r]
+    parts = [pa.array(c, t) for c, (_, t) in zip(zip(*flat), fields)] if flat else [pa.array([], t) for _, t in fields]
+    ends = [0]
+    for r in rows:
+        ends.append(ends[-1] + len(r))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=[n for n, _ in fields]))
+    return pa.record_batch([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], name])
+
+
+def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            found: dict[tuple[str, str], list[int]] = {}
+            for path, block, _, _, letters, signs, marks in parse(text):
+                sums = found.setdefault((path, block), [0, 0, 0, 0])
+                sums[0] += 1
+                sums[1] += letters
+                sums[2] += signs
+                sums[3] += marks
+            rows.append([[*k, *v] for k, v in found.items()])
+        yield _with_lists(batch, rows, PATH_FIELDS, "paths")
 
 
 def parse_nodes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -452,44 +491,51 @@ def parse_nodes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, text).mapInArrow(_parse_batches, f"{schema}, nodes {NODES}")
 
 
-def tag_paths(nodes: Column | str = "nodes") -> Column:
-    """The distinct tag paths of a row that are markup (all but plain text)."""
-    c = F.col(nodes) if isinstance(nodes, str) else nodes
-    return F.array_distinct(F.filter(F.transform(c, lambda n: n["path"]), lambda p: p != "text"))
+def parse_paths(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys`` and ``paths`` of every row, one for one: its tag paths with what their nodes sum to."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.select(*keys, text).mapInArrow(_path_batches, f"{schema}, paths {PATHS}")
 
 
 def with_markup(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The distinct ``keys`` of the rows whose text has at least one tag path besides plain text."""
-    return parse_nodes(rows, keys, text).where(F.size(tag_paths()) > 0).select(*keys).distinct()
+    """The distinct ``keys`` of the rows whose text has a node on a path of markup, by the ratios of all rows."""
+    parsed = cut(parse_paths(rows, keys, text))
+    marked = sized_broadcast(path_ratios(parsed).where("markup").select(F.col("path").alias("__path")))
+    return parsed.select(*keys, F.explode("paths.path").alias("__path")).join(marked, "__path").select(*keys).distinct()
 
 
 def path_ratios(parsed: DataFrame) -> DataFrame:
-    """(path, kind, nodes, letters, signs, score, content) of every tag path over all rows of ``parse_nodes``.
-
-    Both ratios (letters a node, punctuation a hundred letters) are put to logarithms, smoothed with
-    Gaussian weights over the two neighbours on each side in path order, and multiplied; a path is
-    content if it carries structure or its score reaches the mean less half a standard deviation of
-    the scores. The number of paths is bounded by the kinds of markup and MAX_DEPTH, not by the rows.
+    """(path, block, nodes, letters, signs, marks, share, markup, score, content) of every tag path over all rows of ``parse_paths`` or ``parse_nodes``.
+
+    ``share``: the signs of markup of all a path takes up, geometric mean of its own and the one
+    smoothed over its siblings; a path is markup from MARKED on. ``score``, of the path's block:
+    letters a node and punctuation a hundred letters, put to logarithms, smoothed over the siblings
+    and multiplied; a block is content if it carries structure or its score reaches the mean less
+    half a standard deviation of the scores. Siblings are the paths with the same parent; of each
+    side the next two count, with Gaussian weights.
     """
-    paths = parsed.select(F.explode("nodes").alias("n")).groupBy(F.col("n.path").alias("path")).agg(
-        F.min("n.kind").alias("kind"), F.count(F.lit(1)).alias("nodes"), F.sum("n.letters").alias("letters"), F.sum("n.signs").alias("signs"),
-        F.max(F.col("n.kind").isin(*STRUCTURE, *INLINE)).alias("kept"),
-    )
-    ratios = paths.withColumns({"density": F.log1p(F.col("letters") / F.col("nodes")), "pointing": F.log1p(100 * F.col("signs") / F.greatest("letters", F.lit(1)))})
-    order = Window.orderBy("path")
+    lists = "paths" if "paths" in parsed.columns else "nodes"
+    each = parsed.select(F.explode(lists).alias("n"))
+    count = F.sum("n.nodes") if lists == "paths" else F.count(F.lit(1))
+    paths = each.groupBy(F.col("n.path").alias("path"), F.col("n.block").alias("block")).agg(count.alias("nodes"), F.sum("n.letters").alias("letters"), F.sum("n.signs").alias("signs"), F.sum("n.marks").alias("marks"))
+    paths = cut(paths)
+    blocks = paths.groupBy("block").agg(F.sum("nodes").alias("nodes"), F.sum("letters").alias("letters"), F.sum("signs").alias("signs"))
+    blocks = blocks.withColumns({"density": F.log1p(F.col("letters") / F.col("nodes")), "pointing": F.log1p(100 * F.col("signs") / F.greatest("letters", F.lit(1)))})
+    scored = blocks.withColumn("score", _smooth("density", "block") * (1 + _smooth("pointing", "block"))).select("block", "score")
+    limit = scored.agg((F.avg("score") - F.coalesce(F.stddev_pop("score"), F.lit(0.0)) / 2).alias("limit"))
+    structured = F.arrays_overlap(F.split("block", "/"), F.array(*[F.lit(x) for x in sorted(STRUCTURED)]))
+    content = scored.join(F.broadcast(limit)).select("block", "score", (structured | (F.col("score") >= F.col("limit"))).alias("content"))
+    own = F.col("marks") / F.greatest(F.col("marks") + F.col("letters"), F.lit(1))
+    shares = paths.withColumn("own", own).withColumn("share", F.sqrt(F.col("own") * _smooth("own", "path")))
+    return shares.join(content, "block").select("path", "block", "nodes", "letters", "signs", "marks", F.round("share", 6).alias("share"), (F.col("share") >= MARKED).alias("markup"), F.round("score", 6).alias("score"), "content")
+
+
+def _smooth(name: str, path: str) -> Column:
+    """A ratio smoothed over the siblings of a path; their number is bounded by the names there are."""
+    order = Window.partitionBy(F.regexp_extract(path, "^(.*)/[^/]*$", 1)).orderBy(path)
     weights = {-2: 0.054, -1: 0.244, 0: 0.403, 1: 0.244, 2: 0.054}
-
-    def smooth(name: str) -> Column:
-        parts = [F.coalesce(F.lag(name, k).over(order), F.col(name)) * w for k, w in weights.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
-        return out
-
-    scored = ratios.withColumns({"smooth_density": smooth("density"), "smooth_pointing": smooth("pointing")}).withColumn("score", F.col("smooth_density") * (1 + F.col("smooth_pointing")))
-    whole = Window.partitionBy()
-    limit = F.avg("score").over(whole) - F.coalesce(F.stddev_pop("score").over(whole), F.lit(0.0)) / 2
-    return scored.withColumn("content", F.col("kept") | (F.col("score") >= limit)).select("path", "kind", "nodes", "letters", "signs", F.round("score", 6).alias("score"), "content")
+    return sum((F.coalesce(F.lag(name, k).over(order), F.col(name)) * w for k, w in weights.items()), F.lit(0.0))
 
 
 def clean_text(rows: DataFrame, keys: list[str], text: str, out: str = "clean") -> DataFrame:
@@ -501,10 +547,12 @@ def clean_text(rows: DataFrame, keys: list[str], text: str, out: str = "clean")
     without markup stays as it is but for blank space at line ends. Repeated rows are kept; columns
     besides ``keys`` and ``text`` are not read.
     """
-    parsed = cut(parse_nodes(rows.withColumn("__null", F.col(text).isNull()), [*keys, "__null"], text))
-    # A row for each path of markup, of which there is a fixed number.
-    content = [r["path"] for r in path_ratios(parsed).where("content").select("path").collect()]
-    kept = F.filter("nodes", lambda n: F.array_contains(F.array(*[F.lit(p) for p in content]).cast("array<string>"), n["path"]))
+    parsed = cut(parse_nodes(rows.withColumns({"__null": F.col(text).isNull(), "__row": F.monotonically_increasing_id()}), [*keys, "__null", "__row"], text))
+    # Of the blocks that are no content, and of the rows that have one, there are few; both are broadcast only if that is so.
+    low = sized_broadcast(path_ratios(parsed).where("NOT content").select("block").distinct())
+    blocks = parsed.select("__row", F.explode(F.array_distinct("nodes.block")).alias("block"))
+    dropped = sized_broadcast(blocks.join(low, "block").groupBy("__row").agg(F.collect_set("block").alias("__dropped")))
+    kept = F.filter("nodes", lambda n: n["kind"].isin(*STRUCTURE) | F.col("__dropped").isNull() | ~F.array_contains("__dropped", n["block"]))
     said = F.array_join(F.transform(kept, lambda n: n["text"]), "")
     tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
-    return parsed.select(*keys, F.when(~F.col("__null"), tidy).alias(out))
+    return parsed.join(dropped, "__row", "left").select(*keys, F.when(~F.col("__null"), tidy).alias(out))

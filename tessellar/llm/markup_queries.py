@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.markup import clean_text, parse_nodes, path_ratios, with_markup
+from tessellar.llm.markup import clean_text, parse_paths, path_ratios, with_markup
 from tessellar.sources.tables import table
 
 KEYS = ["ref_table", "row_id"]
@@ -19,7 +19,7 @@ def marked_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeated rows count once: only their keys are compared, the texts are not moved."""
+    """The rows with a node on a path of markup. Repeated ones count once: only keys and paths are compared, the texts are not moved."""
     return with_markup(marked_texts(spark, sf), KEYS, "text")
 
 
@@ -30,7 +30,7 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The ratios of every tag path, and which are content."""
-    return path_ratios(parse_nodes(marked_texts(spark, sf).distinct(), KEYS, "text"))
+    return path_ratios(parse_paths(marked_texts(spark, sf).distinct(), KEYS, "text"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_paths)}

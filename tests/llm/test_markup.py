@@ -43,8 +43,8 @@ UNCUT = ["copy; then paste", "ash; then dust", "the R&D", "Sizes: 83 KB &", "Q&A
 @pytest.mark.parametrize(("text", "kind"), CUT)
 def test_pieces_cut_off_at_an_edge(text, kind):
     nodes = parse(text)
-    assert [n[1] for n in nodes if n[0] != "text"][:1] and any(kind in n[0] for n in nodes), nodes
-    assert not any(sign in n[2] for n in nodes for sign in ("*", "~~", "&", "_", ";")) or kind == "entity"
+    assert [n[2] for n in nodes if n[0] != "text"][:1] and any(kind in n[0] for n in nodes), nodes
+    assert not any(sign in n[3] for n in nodes for sign in ("*", "~~", "&", "_", ";")) or kind == "entity"
 
 
 @pytest.mark.parametrize("text", UNCUT)
@@ -60,6 +60,11 @@ CLEAN = {
     "\\section{Part}\nText~\\cite{k}.": "## Part\n\nText.",
     "text <script>var a = 1;</script> more": "text  more",
     "a < b": "a < b",
+    "# Plan\n\nFirst *do* this:\n\n1. one\n2. two\n   - deep\n\n```sh\nls\n```\n\nso $$ E = mc^2 $$ holds": "# Plan\n\nFirst do this:\n\n1. one\n2. two\n  - deep\n\n```sh\nls\n```\n\nso\n$$ E = mc^2 $$\n holds",
+    "== Part ==\n* ''one''\n* [[page|two]]\n{| class=x\n|-\n| a || b\n|}": "## Part\n\n- one\n- two\n\na | b",
+    "<ul><li>one<ul><li>two <code>x</code></li></ul></li></ul><pre>a\n  b</pre>": "- one\n- two x\n\n```\na\n  b\n```",
+    "\\begin{itemize}\n\\item x\n\\item \\textbf{y}\n\\end{itemize}\n\\[ a^2 \\]": "- x\n- y\n\n$$ a^2 $$",
+    "| a | b |\n|---|---|\n| 1 | 2 |": "a | b\n1 | 2",
 }
 
 
@@ -78,6 +83,20 @@ def test_found_and_ratios(spark):
     rows = spark.createDataFrame([(1, "a <b>c</b>"), (1, "a <b>c</b>"), (2, "plain"), (3, None)], "id long, body string")
     assert [r["id"] for r in with_markup(rows, ["id"], "body").collect()] == [1]
     ratios = {r["path"]: r for r in path_ratios(parse_nodes(rows, ["id"], "body")).collect()}
-    assert ratios["text"]["content"] and ratios["html/b"]["content"]
+    assert ratios["text"]["content"] and ratios["html/b"]["content"] and ratios["html/b"]["markup"] and not ratios["text"]["markup"]
     empty = spark.createDataFrame([], rows.schema)
     assert with_markup(empty, ["id"], "body").count() == 0 and clean_text(empty, ["id"], "body").count() == 0
+
+
+def test_paths_are_of_a_fixed_vocabulary():
+    deep = parse("<div>" * 300 + "<ul><li>" * 300 + "<p>said" + "{{Infobox|alpha_1=foo|beta_2=bar}}")
+    assert {n[0] for n in deep} <= {"html/div", "html/div/ul", "html/div/ul/li", "html/div/li/ul", "html/div/ul/li/p", "html/div/li/ul/p", "html/div/ul/li/p/wiki/template/name", "html/div/ul/li/p/wiki/template/named"} | {n[0] for n in deep if "alpha" not in n[0]}
+    assert not any("alpha" in n[0] for n in deep) and all(len(n[0].split("/")) < 12 for n in deep)
+
+
+def test_boilerplate_is_dropped_by_its_ratios(spark):
+    body = "<p>" + "A sentence that says something, and then more of it. " * 6 + "</p>"
+    rows = [(i, f"<nav><a href='/'>Home</a></nav><h2>Part</h2>{body}<footer>Up</footer><ul><li>one</li></ul>") for i in range(30)] + [(99, "Plain words. " * 9)]
+    got = {r["id"]: r["clean"] for r in clean_text(spark.createDataFrame(rows, "id long, body string"), ["id"], "body").collect()}
+    assert "A sentence that says" in got[3] and "## Part" in got[3] and "- one" in got[3] and got[99].startswith("Plain words.")
+    assert "Up" not in got[3]
