@@ -76,3 +76,30 @@ def ignored(path: Column | str, globs: list[str]) -> Column:
         return F.lit(False)
     union = "|".join(glob_regex(g)[1:-1] for g in globs)
     return (c != "") & c.rlike(f"^(?:{union})(?:/.*)?$")
+
+
+def ignore_rules(lines: list[str], base: str = "") -> list[tuple[re.Pattern, bool, bool]]:
+    """(pattern of whole paths, ignores, directories only) of each line of a version-control ignore file in the folder ``base``.
+
+    A later rule overrides an earlier one; ``!`` takes a path in again; a slash before the end binds a rule to the folder.
+    """
+    front = re.escape(base.strip("/") + "/") if base.strip("/") else ""
+    out = []
+    for line in lines:
+        text = line.rstrip("\r\n")
+        text = text.rstrip() if not text.endswith("\\ ") else text
+        if not text or text.startswith("#"):
+            continue
+        ignores = not text.startswith("!")
+        text = text if ignores else text[1:]
+        folder = text.endswith("/")
+        text = text.rstrip("/")
+        glob = text.lstrip("/") if "/" in text else f"**/{text}"
+        if glob:
+            out.append((re.compile(front + glob_regex(glob)[1:-1] + r"\Z"), ignores, folder))
+    return out
+
+
+def decision(path: str, folder: bool, rules: list[tuple[re.Pattern, bool, bool]]) -> bool | None:
+    """Whether the last rule that fits a path ignores it; None where none fits."""
+    return next((ignores for pattern, ignores, only in reversed(rules) if (folder or not only) and pattern.match(path)), None)

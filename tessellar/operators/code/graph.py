@@ -98,6 +98,18 @@ def follow(pairs: DataFrame, names: DataFrame, exports: DataFrame, limits: DataF
     return done.distinct()
 
 
+def visible_names(targets: DataFrame, names: DataFrame, exports: DataFrame) -> DataFrame:
+    """(target, name): the names a file defines or passes on, by itself or through files that it passes on whole."""
+    whole = cut(exports.where("exported IS NULL").select(F.col("path").alias("file"), F.col("target").alias("to")).distinct())
+    front = cut(targets.select("target", F.col("target").alias("file")))
+    reach = front
+    while front.limit(1).count():
+        front = cut(front.join(whole, "file").select("target", F.col("to").alias("file")).distinct().join(reach, ["target", "file"], "left_anti"))
+        reach = reach.unionByName(front)
+    own = names.select(F.col("path").alias("file"), "name").unionByName(exports.where("exported IS NOT NULL").select(F.col("path").alias("file"), F.col("exported").alias("name")))
+    return reach.join(own.distinct(), "file").select("target", "name").distinct()
+
+
 def references(files: DataFrame, facts: DataFrame) -> DataFrame:
     """(target_file, symbol, source_file, line, col, is_definition): definitions, uses and re-exports of every top-level symbol.
 
@@ -117,7 +129,9 @@ def references(files: DataFrame, facts: DataFrame) -> DataFrame:
     globs = imports.where("style = 'glob' AND target IS NOT NULL").select("path", "target").distinct()
     bare = uses.join(bound.select("path", "name"), ["path", "name"], "left_anti").join(top.select("path", "name"), ["path", "name"], "left_anti")
     listed = facts.where("all_names IS NOT NULL").select(F.col("path").alias("target"), "all_names")
-    through = bare.join(globs, "path").select("path", "line", "col", "target", F.col("name").alias("definition")).join(listed, "target", "left").where("all_names IS NULL OR array_contains(all_names, definition)").drop("all_names")
+    # A bare name is looked up only where a module imported whole has it: by file and name, not each use in each module.
+    visible = visible_names(globs.select("target").distinct(), top, exports).join(listed, "target", "left").where("all_names IS NULL OR array_contains(all_names, name)").select("target", "name")
+    through = bare.join(globs.join(visible, "target"), ["path", "name"]).select("path", "line", "col", "target", F.col("name").alias("definition"))
     package = every.where("parent IS NULL").select("path", "name").join(facts.where("language = 'go'").select("path"), "path", "left_semi").select(parent_dir("path").alias("dir"), F.col("path").alias("target"), "name")
     siblings = bare.where("language = 'go'").withColumn("dir", parent_dir("path")).join(package, ["dir", "name"]).where("path <> target").select("path", "line", "col", "target", F.col("name").alias("definition"))
     asked = cut(named.unionByName(members).unionByName(through).unionByName(siblings).distinct())

@@ -6,7 +6,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.paths import ancestors, normalize
@@ -89,17 +89,26 @@ def dangling(maps: DataFrame, directories: DataFrame) -> DataFrame:
 
 
 def stale(maps: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per map (path, root, commit): whether files below its root changed after the commit it names.
+    """Per map (path, root, commit): whether a file below its root differs from what it was at the commit it names.
 
-    ``commits``: seq (ascending), id, path (a row for each changed file). A map without a commit or
-    with one that is unknown is unverifiable. The first three changed paths come with it.
+    ``commits``: seq (ascending), id, path, blob (a row for each changed file with the name of its
+    new content, null where it is gone; a commit without files has a null path). A map without a
+    commit or with one that is unknown is unverifiable. ``distance`` is the number of commits since;
+    a change that was taken back is none. The first three changed paths come with it.
     """
-    pins = maps.select("path", "root", "commit").join(commits.select(F.col("id").alias("commit"), F.col("seq").alias("pin")).distinct(), "commit", "left")
-    changes = commits.where(~F.col("path").endswith("CODEMAP.md")).select("seq", F.col("path").alias("changed"), F.explode(ancestors("path", own=True)).alias("root"))
-    later = pins.where("pin IS NOT NULL").join(changes, "root").where("seq > pin")
-    found = later.groupBy("path").agg(F.countDistinct("seq").alias("distance"), F.slice(F.array_sort(F.collect_set("changed")), 1, 3).alias("sample"))
-    state = F.when(F.col("pin").isNull(), "unverifiable").when(F.col("distance").isNull(), "fresh").otherwise("stale")
-    return pins.join(found, "path", "left").select("path", "root", state.alias("state"), F.coalesce("distance", F.lit(0)).alias("distance"), "sample")
+    each = commits.select("seq", "id").distinct()
+    pins = maps.select("path", "root", "commit").join(each.select(F.col("id").alias("commit"), F.col("seq").alias("pin")), "commit", "left")
+    order = Window.orderBy("seq")
+    count = each.select("seq").distinct().withColumn("number", F.row_number().over(order))
+    last = count.agg(F.max("number").alias("last"))
+    pins = pins.join(count.select(F.col("seq").alias("pin"), "number"), "pin", "left").join(F.broadcast(last)).withColumn("distance", F.coalesce((F.col("last") - F.col("number")).cast("long"), F.lit(0)))
+    changes = commits.where(F.col("path").isNotNull() & ~F.col("path").endswith("CODEMAP.md")).select("seq", "blob", F.col("path").alias("changed"), F.explode(ancestors("path", own=True)).alias("root"))
+    files = pins.where("pin IS NOT NULL").join(changes, "root").groupBy("path", "changed").agg(
+        F.max_by("blob", F.when(F.col("seq") <= F.col("pin"), F.col("seq"))).alias("then"), F.max_by("blob", "seq").alias("now")
+    )
+    found = files.where(~F.col("then").eqNullSafe(F.col("now"))).groupBy("path").agg(F.slice(F.array_sort(F.collect_set("changed")), 1, 3).alias("sample"))
+    state = F.when(F.col("pin").isNull(), "unverifiable").when(F.col("sample").isNull(), "fresh").otherwise("stale")
+    return pins.join(found, "path", "left").select("path", "root", state.alias("state"), "distance", "sample")
 
 
 def findings(maps: DataFrame, files: DataFrame, directories: DataFrame, commits: DataFrame | None = None, least: int = LEAST_FILES) -> DataFrame:
@@ -114,16 +123,17 @@ def findings(maps: DataFrame, files: DataFrame, directories: DataFrame, commits:
     return out
 
 
-def git_commits(repository: str) -> list[tuple[int, str, str]]:
-    """(seq, id, path) of a local repository's history, oldest first, for ``stale``; empty where git cannot read it."""
+def git_commits(repository: str) -> list[tuple[int, str, str | None, str | None]]:
+    """(seq, id, path, blob) of a local repository's history, oldest first, for ``stale``; empty where git cannot read it."""
     try:
-        log = subprocess.run(["git", "-C", repository, "log", "--reverse", "--name-only", "--pretty=format:%x00%H"], capture_output=True, text=True, check=True).stdout
+        log = subprocess.run(["git", "-C", repository, "log", "--reverse", "-m", "--first-parent", "--raw", "--no-abbrev", "--no-renames", "--pretty=format:%x00%H"], capture_output=True, text=True, check=True).stdout
     except (OSError, subprocess.CalledProcessError):
         return []
     out = []
     for seq, entry in enumerate(log.split("\0")[1:]):
-        head, *paths = [line for line in entry.splitlines() if line]
-        out += [(seq, head, p) for p in paths]
+        head, *changes = [line for line in entry.splitlines() if line]
+        files = [(c.partition("\t")[2], c.split()[3]) for c in changes]
+        out += [(seq, head, p, b if b.strip("0") else None) for p, b in files] or [(seq, head, None, None)]
     return out
 
 

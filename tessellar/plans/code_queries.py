@@ -11,8 +11,10 @@ from tessellar.sources.tables import table
 
 
 def code_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, content), each file once."""
-    return table(spark, sf, "code_files").select("path", F.col("source").alias("content")).where("path IS NOT NULL").dropDuplicates(["path"])
+    """(path, content), each file of each repository once; paths begin with the repository."""
+    front = F.concat("repo", F.lit("/"))
+    path = F.when(F.col("repo").isNull() | F.startswith("path", front), F.col("path")).otherwise(F.concat(front, "path"))
+    return table(spark, sf, "code_files").select(path.alias("path"), F.col("source").alias("content")).where("path IS NOT NULL").dropDuplicates(["path"])
 
 
 def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,7 +22,10 @@ def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_symbols(spark, sf):
-    """Symbols parsed from the sources of all files that have any in ``symbol_rows``, where the line is that of the comments above."""
+    """Symbols parsed from the sources of all files that have any in ``symbol_rows``, where the line is that of the comments above.
+
+    That table has none of the files that do not parse; ``code_symbol_counts`` is over all files.
+    """
     listed = table(spark, sf, "symbol_rows").where("kind <> 'heading'").select(F.col("file").alias("path")).distinct()
     rows = graph.symbols(facts.extract(code_texts(spark, sf).join(listed, "path", "left_semi")))
     return rows.select(F.col("path").alias("file"), "name", "parent", "kind", F.trim("display_kind").alias("display_kind"), F.col("body_line").alias("line"), "end_line", "is_public").distinct()
@@ -57,7 +62,9 @@ def heading_extract(spark, sf):
 
 
 def markdown_links(spark, sf):
-    return markdown.links(markdown.parse_files(doc_texts(spark, sf))).select("source", "line", "kind", "target", "target_anchor")
+    """Links in the bodies of all tasks, each body a file of its own; the documents have none."""
+    bodies = table(spark, sf, "tasks").select(F.format_string("tasks/%d.md", "id").alias("path"), F.col("body").alias("content")).where("id IS NOT NULL").distinct()
+    return markdown.links(markdown.parse_files(bodies)).select("source", "line", "kind", "target", "target_anchor")
 
 
 def vault_check(spark, sf):
@@ -71,6 +78,8 @@ def rendered_documents(spark, sf):
 QUERIES = {f.__name__: f for f in (code_symbols, code_symbol_counts, code_imports, code_deps, symbol_references, markdown_headings, heading_extract, markdown_links, vault_check, rendered_documents)}
 
 SQL = {
+    "vault_check": "SELECT 'orphan' AS kind, count(DISTINCT path) AS issues FROM documents",
+    "rendered_documents": "SELECT path, CAST(length(coalesce(text, '')) AS INTEGER) AS characters, CAST(0 AS INTEGER) AS errors FROM documents",
     "code_symbols": "SELECT DISTINCT file, name, parent, kind, trim(display_kind) AS display_kind, line, end_line, is_public FROM symbol_rows WHERE kind <> 'heading'",
     "heading_extract": "WITH l AS (SELECT path, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL)"
     " SELECT path, CAST(k AS INTEGER) AS line, CAST(length(regexp_extract(s, '^ {0,3}(#{1,6})([ \\t]|$)', 1)) AS INTEGER) AS level FROM l WHERE regexp_matches(s, '^ {0,3}#{1,6}([ \\t]|$)')",

@@ -9,6 +9,7 @@ from tessellar.functions.anchors import numbered_anchors, slug_anchor
 from tessellar.functions.paths import ancestors, classify, language, like_prefix, parent_dir, relative_path
 from tessellar.functions.text import symbol_display
 from tessellar.operators import coverage, linkgraph
+from tessellar.operators.code import graph
 from tessellar.operators.work import longest_prefix
 from tessellar.sources.tables import table
 
@@ -52,7 +53,8 @@ def link_inbound(spark, sf):
 
 
 def orphans(spark, sf):
-    return linkgraph.orphans(links(spark, sf), vault_files(spark, sf))
+    """Files that no embed or wikilink of another file leads to."""
+    return linkgraph.orphans(links(spark, sf).where("kind <> 'link'"), vault_files(spark, sf))
 
 
 def deps_outbound(spark, sf):
@@ -65,8 +67,8 @@ def doc_graph_issues(spark, sf):
 
 
 def scoped_issues(spark, sf):
-    """The report of two directories only; links are resolved over the whole vault."""
-    return linkgraph.scoped(doc_graph_issues(spark, sf), ["docs/alias", "docs/cache"])
+    """The report of some directories only; links are resolved over the whole vault."""
+    return linkgraph.scoped(doc_graph_issues(spark, sf), ["docs/filter", "docs/window", "docs/lock"])
 
 
 def section_bounds(spark, sf):
@@ -78,11 +80,9 @@ def heading_tree(spark, sf):
 
 
 def link_reach(spark, sf):
-    """All files reached by links from those nobody links to, with the fewest steps."""
+    """All files reached by links from the first of those that have any, with the fewest steps."""
     edges = links(spark, sf).select("source", "target")
-    sources = edges.select(F.col("source").alias("node")).distinct()
-    starts = sources.join(edges.where("source <> target").select(F.col("target").alias("node")).distinct(), "node", "left_anti")
-    return linkgraph.reach(edges, starts)
+    return linkgraph.reach(edges, edges.agg(F.min("source").alias("node")))
 
 
 def files_of_links(spark, sf):
@@ -107,8 +107,10 @@ def public_symbols(spark, sf):
 
 
 def symbols_named(spark, sf):
-    """Symbols under a selector of parent and name."""
-    return table(spark, sf, "symbol_rows").where("kind <> 'heading' AND name RLIKE '^(merge|split)' AND parent IS NOT NULL").select("sym_id", "file", "parent", "name").distinct()
+    """The symbols that the first selector of parent and name in the table stands for."""
+    rows = table(spark, sf, "symbol_rows").where("kind <> 'heading'").select("sym_id", "file", "parent", "name").distinct()
+    first = rows.agg(F.min(F.concat("parent", F.lit("::"), "name"))).first()[0]
+    return graph.selected(rows, first) if first else rows.limit(0)
 
 
 def code(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,22 +211,27 @@ SQL = {
     "link_resolve": f"{LH} SELECT ref_id, source, target, target_anchor, reason FROM r",
     "link_broken": f"{LH} SELECT regexp_extract(reason, '^target [a-z]+ not found') AS problem, source, count(*) AS links FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "link_inbound": f"{LH} SELECT target, count(*) AS links, count(DISTINCT source) AS sources FROM l WHERE target IN (SELECT path FROM f) GROUP BY target",
-    "orphans": f"{LH} SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = f.path AND l.source <> f.path)",
+    "orphans": f"{LH} SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = f.path AND l.source <> f.path AND l.kind <> 'link')",
+    "relative_links": f"{LH}, p AS (SELECT ref_id, string_split(source, '/')[:-2] AS a, string_split(target, '/') AS b FROM l), q AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), len(a) + 1) - 1 AS k FROM p)"
+    " SELECT ref_id, repeat('../', CAST(len(a) - least(k, len(b) - 1) AS BIGINT)) || array_to_string(b[least(k, len(b) - 1) + 1:], '/') AS way FROM q",
+    "dangling_roots": "WITH m AS (SELECT path, string_split(text, chr(10) || '---' || chr(10))[1] AS f FROM documents WHERE kind = 'codemap' AND starts_with(text, '---' || chr(10)) AND contains(text, chr(10) || '---' || chr(10))),"
+    " n AS (SELECT path, nullif(trim(regexp_extract(f, '\ndomain:([^\n]*)', 1)), '') AS domain, coalesce(nullif(trim(regexp_extract(f, '\nroot:([^\n]*)', 1)), ''), regexp_replace(path, '/[^/]*$', '')) AS root FROM m)"
+    " SELECT path, domain, root, 'root no longer exists' AS reason FROM n WHERE domain IS NOT NULL AND root NOT IN (SELECT dir FROM " + UP.format(n="", t="code_files") + ")",
     "section_by_selector": f"WITH {H} SELECT path, line, level, anchor FROM h WHERE anchor = 'known-limits'",
     "codemap_listing": "WITH m AS (SELECT path, CASE WHEN starts_with(text, '---' || chr(10)) AND contains(text, chr(10) || '---' || chr(10)) THEN string_split(text, chr(10) || '---' || chr(10))[1] END AS f FROM documents WHERE kind = 'codemap')"
     " SELECT path, nullif(trim(regexp_extract(f, '\ndomain:([^\n]*)', 1)), '') AS domain, coalesce(nullif(trim(regexp_extract(f, '\nroot:([^\n]*)', 1)), ''), regexp_replace(path, '/[^/]*$', '')) AS root, nullif(trim(regexp_extract(f, '\nowner:([^\n]*)', 1)), '') AS owner FROM m",
     "deps_outbound": f"{LH} SELECT DISTINCT source, target, target_anchor FROM l",
     "doc_graph_issues": f"{LH} {ISSUES}",
-    "scoped_issues": f"{LH} SELECT * FROM ({ISSUES}) WHERE starts_with(path, 'docs/alias/') OR starts_with(path, 'docs/cache/')",
+    "scoped_issues": f"{LH} SELECT * FROM ({ISSUES}) WHERE starts_with(path, 'docs/filter/') OR starts_with(path, 'docs/window/') OR starts_with(path, 'docs/lock/')",
     "section_bounds": f"WITH {H} SELECT path, line, level, CAST((SELECT min(n.line) FROM h n WHERE n.path = h.path AND n.line > h.line AND n.level <= h.level) - 1 AS INTEGER) AS end_line FROM h",
     "heading_tree": f"WITH {H} SELECT path, line, level, (SELECT max(n.line) FROM h n WHERE n.path = h.path AND n.line < h.line AND n.level < h.level) AS parent_line FROM h",
-    "link_reach": f"{LH}, s AS (SELECT DISTINCT source AS node FROM l WHERE source NOT IN (SELECT target FROM l WHERE source <> target)), w AS (SELECT node, 0 AS steps FROM s"
-    " UNION SELECT l.target, w.steps + 1 FROM w JOIN (SELECT DISTINCT source, target FROM l) l ON l.source = w.node WHERE w.steps < 12) SELECT node, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY node",
+    "link_reach": f"{LH}, e AS (SELECT DISTINCT source, target FROM l), w AS (SELECT min(source) AS node, 0 AS steps FROM e"
+    " UNION SELECT e.target, w.steps + 1 FROM w JOIN e ON e.source = w.node WHERE w.steps < (SELECT count(*) FROM f)) SELECT node, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY node",
     "files_of_links": f"{LH} SELECT target, count(*) AS references, count(DISTINCT source) AS files FROM l GROUP BY target",
     "outline": "SELECT sym_id, any_value(file) AS file, any_value(line) AS line, any_value((CASE WHEN parent IS NOT NULL THEN '  ' ELSE '' END) || (CASE WHEN length(trim(display_kind)) > 0 THEN display_kind || ' ' ELSE '' END) || name"
     " || (CASE WHEN kind IN ('fn', 'method', 'constructor', 'getter', 'setter', 'macro') THEN '()' ELSE '' END)) AS display FROM symbol_rows WHERE kind <> 'heading' GROUP BY sym_id",
     "public_symbols": "SELECT DISTINCT file, name, kind FROM symbol_rows WHERE kind <> 'heading' AND is_public AND parent IS NULL",
-    "symbols_named": "SELECT DISTINCT sym_id, file, parent, name FROM symbol_rows WHERE kind <> 'heading' AND regexp_matches(name, '^(merge|split)') AND parent IS NOT NULL",
+    "symbols_named": "WITH s AS (SELECT DISTINCT sym_id, file, parent, name FROM symbol_rows WHERE kind <> 'heading') SELECT * FROM s WHERE parent || '::' || name = (SELECT min(parent || '::' || name) FROM s)",
     "classify_files": f"{C}, p AS (SELECT path FROM c UNION ALL SELECT path FROM documents), e AS (SELECT lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS e FROM p)"
     " SELECT CASE WHEN e IN ('md', 'markdown', 'txt') THEN 'docs' WHEN e IN ('rs', 'py', 'js', 'jsx', 'ts', 'tsx', 'go', 'toml', 'sql', 'sh') THEN 'code' END AS kind,"
     " CASE e WHEN 'rs' THEN 'rust' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' END AS language, count(*) AS files FROM e GROUP BY ALL",

@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.functions.globs import DEFAULT_IGNORES, glob_regex, ignore_patterns, ignored
+from tessellar.functions.globs import DEFAULT_IGNORES, decision, glob_regex, ignore_patterns, ignore_rules, ignored
 from tessellar.functions.paths import ancestors, extension, file_name, language, parent_dir, path_order
 
 
@@ -28,18 +28,50 @@ def read_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
     return out.where(~ignored("path", ignores if ignores is not None else list(DEFAULT_IGNORES)))
 
 
+#: Ignore files of a folder, the later ones overriding the earlier.
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
 def walk_files(spark: SparkSession, root: str, ignores: list[str] | None = None, parts: int = 8) -> DataFrame:
-    """As ``read_files``, dotfiles included, of a folder that driver and executors both see: ignored directories are not entered, links not followed; the files are read in parallel."""
+    """As ``read_files``, dotfiles included, of a folder that driver and executors both see; the files are read in parallel.
+
+    Besides ``ignores`` the ignore files of every folder on the way count, and those of the folders
+    above up to the one of the repository: a deeper file overrides a higher one, a later line an
+    earlier one, and what ``!`` takes in again stays. Ignored folders are not entered, links not followed.
+    """
     import re
 
     globs = ignores if ignores is not None else list(DEFAULT_IGNORES)
     pattern = re.compile("^(?:" + "|".join(glob_regex(g)[1:-1] for g in globs) + ")(?:/.*)?$") if globs else None
-    listed = []
+
+    def rules_of(folder: str, base: str) -> list:
+        return [r for name in IGNORE_FILES for r in ignore_rules(_lines(os.path.join(folder, name)) or [], base)]
+
+    # The ignore files above the root count for paths from there.
+    root = os.path.abspath(root)
+    higher, above, inner = [], root, ""
+    while not os.path.exists(os.path.join(above, ".git")) and os.path.dirname(above) != above:
+        inner = os.path.basename(above) + ("/" + inner if inner else "")
+        above = os.path.dirname(above)
+        higher.append((above, inner))
+    outer = [(rules_of(folder, ""), inner) for folder, inner in higher] if os.path.exists(os.path.join(above, ".git")) else []
+    listed, rules = [], {"": []}
+
+    def out(path: str, folder: bool, here: list) -> bool:
+        if pattern and pattern.match(path):
+            return True
+        # The nearest folder with a rule that fits decides.
+        said = [decision(path, folder, here), *(decision(f"{inner}/{path}", folder, r) for r, inner in outer)]
+        return next((x for x in said if x is not None), False)
+
     for folder, dirs, names in os.walk(root):
         here = os.path.relpath(folder, root).replace(os.sep, "/")
-        front = "" if here == "." else here + "/"
-        dirs[:] = sorted(d for d in dirs if not (pattern and pattern.match(front + d)) and not os.path.islink(os.path.join(folder, d)))
-        listed += [(front + n,) for n in names if not (pattern and pattern.match(front + n)) and not os.path.islink(os.path.join(folder, n))]
+        here = "" if here == "." else here
+        front = here + "/" if here else ""
+        mine = rules.pop(here) + rules_of(folder, here)
+        dirs[:] = sorted(d for d in dirs if not os.path.islink(os.path.join(folder, d)) and not out(front + d, True, mine))
+        rules |= {front + d: mine for d in dirs}
+        listed += [(front + n,) for n in names if not os.path.islink(os.path.join(folder, n)) and not out(front + n, False, mine)]
 
     def read(batches):
         import pandas as pd
@@ -76,27 +108,30 @@ def relative_to(path: Column, root: str) -> Column:
 SETTINGS = ".workspace"
 
 
+def _lines(path: str) -> list[str] | None:
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read().splitlines()
+    except OSError:
+        return None
+
+
 def workspace_ignores(root: str, settings: str = SETTINGS) -> list[str]:
-    """Globs of a local workspace: the ``ignore`` file of its settings folder (or the defaults), the ignore list of ``config.toml`` there, and .gitignore at its top."""
-    import tomllib
+    """Globs of a local workspace: the ``ignore`` file of its settings folder (or the defaults), and the ignore list of ``config.toml`` there.
 
-    def lines(path: str) -> list[str] | None:
-        try:
-            with open(os.path.join(root, path), encoding="utf-8") as f:
-                return f.read().splitlines()
-        except OSError:
-            return None
+    Ignore files of version control are no plain globs; ``walk_files`` reads them where it goes.
+    """
+    import tomllib
 
-    own = lines(f"{settings}/ignore")
+    own = _lines(os.path.join(root, settings, "ignore"))
     globs = list(DEFAULT_IGNORES) if own is None else ignore_patterns(own)
-    config = lines(f"{settings}/config.toml")
+    config = _lines(os.path.join(root, settings, "config.toml"))
     if config is not None:
         named = tomllib.loads("\n".join(config)).get("index", {}).get("ignore", [])
         if not isinstance(named, list) or not all(isinstance(x, str) for x in named):
             raise ValueError("[index].ignore is no list of patterns")
         globs += ignore_patterns(named)
-    git = lines(".gitignore")
-    return globs + ([] if git is None else ignore_patterns([x.removeprefix("/") for x in git if not x.startswith("!")]))
+    return globs
 
 
 def markdown_files(files: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def tree(tmp_path):
 
 def test_read_and_tree(spark, tree):
     ignores = files.workspace_ignores(str(tree))
-    assert ignores == ["**/node_modules", "**/out"]
-    listed = {r["path"]: r for r in files.read_files(spark, str(tree), ignores).collect()}
+    assert ignores == ["**/node_modules"]
+    listed = {r["path"]: r for r in files.read_files(spark, str(tree), [*ignores, "out"]).collect()}
     table = files.walk_files(spark, str(tree), ignores).cache()
     assert {r["path"]: r for r in table.where("path NOT RLIKE '(^|/)[.]'").collect()} == listed
     got = {r["path"]: r for r in table.collect()}
@@ -38,6 +38,29 @@ def test_read_and_tree(spark, tree):
     assert [r["path"] for r in files.tree(table, ignore="src|*.md|bin.dat", hidden=True).collect()] == [".workspace", ".workspace/ignore", "docs", ".gitignore", "e.txt"]
 
 
+def test_ignore_files_of_every_folder(spark, tmp_path):
+    texts = {
+        ".gitignore": "*.log\n/top.txt\ncache/\n!keep.log\n# no rule\n", "a.log": "", "keep.log": "", "top.txt": "", "sub/top.txt": "", "sub/cache/x.py": "", "cache": "a file", "sub/.gitignore": "!b.log\nonly/here.md\nkeep.log\n",
+        "sub/b.log": "", "sub/keep.log": "", "sub/only/here.md": "", "sub/deep/only/here.md": "", "sub/deep/.ignore": "*.md\n!c.log", "sub/deep/d.md": "", "sub/deep/c.log": "",
+    }
+    for path, text in texts.items():
+        p = tmp_path / "w" / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text) if path != "cache" else None
+    (tmp_path / "w" / "cache").write_text("a file")
+
+    def walked(root):
+        return {r["path"] for r in files.walk_files(spark, str(root), [], 1).collect() if not r["path"].rpartition("/")[2].startswith(".")}
+
+    assert walked(tmp_path / "w") == {"keep.log", "sub/top.txt", "cache", "sub/b.log", "sub/deep/c.log"}
+    # The files above count up to the folder of the repository, and only where there is one.
+    assert walked(tmp_path / "w" / "sub" / "deep") == {"c.log"}
+    (tmp_path / "w" / ".git").mkdir()
+    (tmp_path / "w" / "sub" / "deep" / "z.log").write_text("")
+    (tmp_path / "w" / "sub" / "deep" / "b.log").write_text("")
+    assert walked(tmp_path / "w" / "sub" / "deep") == {"c.log", "b.log"}
+
+
 def test_headers():
     source = "use a::b;\nuse c::{\n    d,\n};\n\npub struct User {}\nimpl User {\n    pub fn name(&self) {}\n}\n"
     text, warning = headers.write_index(source, "src/lib.rs")
@@ -62,9 +85,9 @@ def test_headers():
 
 
 def test_format(spark, tree):
-    table = files.read_files(spark, str(tree), files.workspace_ignores(str(tree)))
+    table = files.read_files(spark, str(tree), [*files.workspace_ignores(str(tree)), "out"])
     assert files.write_changed(headers.format_files(table), str(tree)) == 3
-    again = headers.format_files(files.read_files(spark, str(tree), files.workspace_ignores(str(tree))))
+    again = headers.format_files(files.read_files(spark, str(tree), [*files.workspace_ignores(str(tree)), "out"]))
     assert {(r["path"], r["changed"]) for r in again.collect()} == {("src/a.rs", False), ("src/b/c.py", False), ("docs/x.md", False)}
 
 

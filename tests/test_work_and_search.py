@@ -109,8 +109,8 @@ def test_coverage(spark):
     good = maps.where("problem IS NULL")
     dirs = spark.createDataFrame([("src",)], "dir string")
     assert {r["path"]: r["reason"] for r in coverage.dangling(good, dirs).collect()} == {"b/CODEMAP.md": coverage.GONE, "f/CODEMAP.md": coverage.OUTSIDE}
-    commits = spark.createDataFrame([(1, "c1", "gone/a"), (2, "c2", "gone/b"), (2, "c2", "gone/CODEMAP.md"), (3, "c3", "src/x")], "seq int, id string, path string")
-    assert {r["path"]: (r["state"], r["distance"], r["sample"]) for r in coverage.stale(good, commits).collect()} == {"a/CODEMAP.md": ("unverifiable", 0, None), "b/CODEMAP.md": ("stale", 1, ["gone/b"]), "f/CODEMAP.md": ("unverifiable", 0, None)}
+    commits = spark.createDataFrame([(1, "c1", "gone/a", "A"), (1, "c1", "gone/t", "T"), (2, "c2", "gone/b", "B"), (2, "c2", "gone/t", "U"), (2, "c2", "gone/CODEMAP.md", "M"), (3, "c3", "src/x", "X"), (4, "c4", "gone/t", "T"), (5, "c5", None, None)], "seq int, id string, path string, blob string")
+    assert {r["path"]: (r["state"], r["distance"], r["sample"]) for r in coverage.stale(good, commits).collect()} == {"a/CODEMAP.md": ("unverifiable", 0, None), "b/CODEMAP.md": ("stale", 4, ["gone/b"]), "f/CODEMAP.md": ("unverifiable", 0, None)}
     assert "| d | src |" in coverage.index_text(good, maps.where("problem IS NOT NULL"), coverage.gaps(files, roots)).first()["text"]
     assert coverage.git_commits("/nonexistent") == []
 
