@@ -110,18 +110,23 @@ def visible_names(targets: DataFrame, names: DataFrame, exports: DataFrame) -> D
     return reach.join(own.distinct(), "file").select("target", "name").distinct()
 
 
-def references(files: DataFrame, facts: DataFrame) -> DataFrame:
+def references(files: DataFrame, facts: DataFrame, target: str | None = None) -> DataFrame:
     """(target_file, symbol, source_file, line, col, is_definition): definitions, uses and re-exports of every top-level symbol.
 
     A qualified use names a member of the module it is taken from, any other use the name bound by
     an import; names of whole-module imports are tried against what the module defines or passes
-    on. Files of one Go package see each other. Uses of one place count once.
+    on. Files of one Go package see each other. Uses of one place count once. With ``target`` only
+    the symbols of that file count, and uses are read only in files from which it can be seen.
     """
     facts = cut(facts)
-    every = symbols(facts)
-    top = every.where("parent IS NULL").select("path", "name", "line")
     imports = cut(resolve_imports(facts, files))
     exports = cut(passed_on(imports, facts))
+    if target is not None:
+        seeing = importer_closure(imports, exports, target).unionByName(facts.where("language = 'go'").where(parent_dir("path") == parent_dir(F.lit(target))).select("path")).distinct()
+        facts = cut(facts.join(seeing, "path", "left_semi"))
+        imports, exports = (cut(t.join(seeing, "path", "left_semi")) for t in (imports, exports))
+    every = symbols(facts)
+    top = every.where("parent IS NULL").select("path", "name", "line")
     uses = facts.select("path", "language", "all_names", F.explode("uses").alias("u")).select("path", "language", "u.*")
     bound = imports.where("target IS NOT NULL AND local IS NOT NULL").select("path", F.col("local").alias("name"), "style", "target", F.coalesce("definition", "local").alias("definition")).distinct()
     named = uses.join(bound.where("style = 'name'"), ["path", "name"]).select("path", "line", "col", "target", "definition")
@@ -140,7 +145,8 @@ def references(files: DataFrame, facts: DataFrame) -> DataFrame:
     places = follow(wanted.select("target", "definition").distinct(), top, exports)
     found = wanted.join(places, ["target", "definition"]).select(F.col("file").alias("target_file"), F.col("name").alias("symbol"), F.col("path").alias("source_file"), "line", "col", F.lit(False).alias("is_definition"))
     own = top.select(F.col("path").alias("target_file"), F.col("name").alias("symbol"), F.col("path").alias("source_file"), "line", F.lit(1).alias("col"), F.lit(True).alias("is_definition"))
-    return own.unionByName(found.where(F.col("target_file") != F.col("source_file"))).distinct()
+    every_one = own.unionByName(found.where(F.col("target_file") != F.col("source_file"))).distinct()
+    return every_one if target is None else every_one.where(F.col("target_file") == target)
 
 
 def references_of(rows: DataFrame, file: str, symbol: str) -> DataFrame:
@@ -148,13 +154,16 @@ def references_of(rows: DataFrame, file: str, symbol: str) -> DataFrame:
     return rows.where((F.col("target_file") == file) & (F.col("symbol") == symbol)).orderBy(F.desc("is_definition"), path_order("source_file"), "line", "col")
 
 
-def importer_closure(imports: DataFrame, target: str) -> DataFrame:
-    """(path): the files from which a symbol of ``target`` can be seen: it, its importers, and theirs."""
-    edges = deps(imports)
-    first = edges.where(F.col("target") == target).select("path")
-    second = edges.join(first.select(F.col("path").alias("target")), "target", "left_semi").select("path")
-    own = edges.sparkSession.createDataFrame([(target,)], "path string")
-    return own.unionByName(first).unionByName(second).distinct()
+def importer_closure(imports: DataFrame, exports: DataFrame, target: str) -> DataFrame:
+    """(path): the files from which a symbol of ``target`` can be seen: it, all files that pass on names of it, and whoever imports one of these."""
+    links = cut(exports.select(F.col("path").alias("by"), F.col("target").alias("path")).where("by <> path").distinct())
+    front = imports.sparkSession.createDataFrame([(target,)], "path string")
+    passing = front
+    while front.limit(1).count():
+        front = cut(links.join(front, "path").select(F.col("by").alias("path")).distinct().join(passing, "path", "left_anti"))
+        passing = passing.unionByName(front)
+    importers = deps(imports).join(passing.select(F.col("path").alias("target")), "target", "left_semi").select("path")
+    return passing.unionByName(importers).distinct()
 
 
 def selected(rows: DataFrame, selector: str, dotted: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ from tessellar.session import cut
 #: Columns of a target: the source key as a struct, and the source version (null where the source has none).
 KEY, VERSION = "source_key", "source_version"
 #: Partition column of a segment: rows of output, or the marks of the records taken up.
-PART, ROWS, MARKS = "part", "rows", "marks"
+PART, ROWS, MARKS = "target_part", "rows", "marks"
 #: Segments of a version beyond which they are written together.
 SEGMENTS = 16
 
@@ -61,7 +61,8 @@ class VersionedTarget:
     stores whose rename may overwrite, two runs at once have to be kept apart by other means.)
 
     Null keys are a key like another. Where a source holds several versions of a key the greatest
-    counts (null is the least), of equal ones any row. Empty sources and outputs publish what they are.
+    counts (null is the least), of equal ones any row. Empty sources and outputs publish what they are. The names ``source_key``,
+    ``source_version`` and ``target_part`` are the target's own: columns of a source called so are replaced.
     """
 
     def __init__(self, spark: SparkSession, folder: str, segments: int = SEGMENTS):
@@ -122,7 +123,7 @@ class VersionedTarget:
 
     def _todo(self, source: DataFrame, keys: list[str], version: str, marks: DataFrame | None, feed: bool) -> DataFrame:
         key = F.struct(*[F.col(k) for k in keys])
-        stamped = source.withColumns({KEY: key, VERSION: F.col(version)})
+        stamped = source.withColumns({KEY: key, VERSION: F.col(version)}).drop(PART)
         # Of several versions the greatest: null is less than any other, so the flag goes first.
         newest = stamped.groupBy(KEY).agg(F.max_by(F.struct("*"), F.struct(F.col(VERSION).isNotNull(), F.col(VERSION))).alias("__row")).select("__row.*")
         if marks is None:

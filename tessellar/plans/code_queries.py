@@ -53,6 +53,15 @@ def symbol_references(spark, sf):
     return rows.groupBy("target_file", "symbol").agg(F.sum(F.col("is_definition").cast("long")).alias("definitions"), F.sum((~F.col("is_definition")).cast("long")).alias("uses"), F.countDistinct("source_file").alias("files"))
 
 
+def references_to_file(spark, sf):
+    """Definitions and uses of every symbol of the first file that another one imports."""
+    files = code_texts(spark, sf)
+    parsed = facts.extract(files)
+    first = graph.deps(graph.resolve_imports(parsed, files)).agg(F.min("target")).first()[0]
+    rows = graph.references(files, parsed, first or files.agg(F.min("path")).first()[0])
+    return rows.groupBy("target_file", "symbol").agg(F.count(F.lit(1)).alias("places"))
+
+
 def markdown_headings(spark, sf):
     return markdown.headings(markdown.parse_files(doc_texts(spark, sf))).select("path", "line", "level", "title", "anchor")
 
@@ -75,7 +84,7 @@ def rendered_documents(spark, sf):
     return transclude.render(doc_texts(spark, sf)).select("path", F.length("text").alias("characters"), F.size("errors").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_symbol_counts, code_imports, code_deps, symbol_references, markdown_headings, heading_extract, markdown_links, vault_check, rendered_documents)}
+QUERIES = {f.__name__: f for f in (code_symbols, code_symbol_counts, code_imports, code_deps, symbol_references, references_to_file, markdown_headings, heading_extract, markdown_links, vault_check, rendered_documents)}
 
 SQL = {
     "vault_check": "SELECT 'orphan' AS kind, count(DISTINCT path) AS issues FROM documents",

@@ -80,6 +80,14 @@ def test_references(rows, k):
     assert (sum(hits.values()), sum(not d for d in hits.values())) == (1, uses), hits
 
 
+@pytest.mark.parametrize("case", ["rust: passed on twice under a new name", "go: a file of the same package", "py: everything of a module"])
+def test_references_to_one_file(spark, case):
+    program, target, symbol, uses = CASES[case]
+    table = spark.createDataFrame([*program, ("other/x.py", "import nothing\n")], "path string, content string")
+    got = graph.references(table, facts.extract(table), target).where(F.col("symbol") == symbol).collect()
+    assert sorted(r["is_definition"] for r in got) == [False] * uses + [True] and {r["target_file"] for r in got} == {target}
+
+
 def test_symbols_of_text():
     get = lambda path, text: {(s[0], s[1], s[2], s[3], s[4], s[5], s[6]) for s in facts.facts_of(path, text, facts.language_of(path)).symbols}
     rust = "/// doc\n#[inline]\npub async fn a() {}\npub trait T {\n    fn b(&self);\n}\nimpl<X> fmt::Display for A<X> {\n    pub(crate) fn c() { fn d() {} }\n}\nmacro_rules! m { () => {}; }\nmod x;\nconst N: [u8; 2] = [1, 2];\nenum E { V }\n"
@@ -108,10 +116,11 @@ def test_selectors_and_bodies(spark):
 
 
 def test_closure(spark):
-    files = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "from a import x"), ("c.py", "import b"), ("d.py", "import c")], "path string, content string")
+    files = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "from a import x"), ("c.py", "import b"), ("d.py", "import c"), ("p/__init__.py", "from a import x"), ("e.py", "from p import x"), ("f.py", "import e")], "path string, content string")
     imports = graph.resolve_imports(facts.extract(files), files)
-    assert {tuple(r) for r in graph.deps(imports).collect()} == {("b.py", "a.py"), ("c.py", "b.py"), ("d.py", "c.py")}
-    assert {r["path"] for r in graph.importer_closure(imports, "a.py").collect()} == {"a.py", "b.py", "c.py"}
+    assert {tuple(r) for r in graph.deps(imports).collect()} == {("b.py", "a.py"), ("c.py", "b.py"), ("d.py", "c.py"), ("p/__init__.py", "a.py"), ("e.py", "p/__init__.py"), ("f.py", "e.py")}
+    exports = graph.passed_on(imports, facts.extract(files))
+    assert {r["path"] for r in graph.importer_closure(imports, exports, "a.py").collect()} == {"a.py", "b.py", "p/__init__.py", "e.py"}
     assert imports.where(F.col("target").isNull()).count() == 0
 
 

@@ -142,6 +142,13 @@ def test_empty_and_adopted(spark, tmp_path):
     assert target.run(rows.withColumn("updated", F.lit("u2")), ["id"], "updated", ident) == 1
 
 
+def test_clashing_columns_and_long_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u1", "p", "k", "x" * 300_000), (2, None, None, None, "")], "id long, updated string, part string, source_key string, target_part string")
+    target = VersionedTarget(spark, str(tmp_path / "t"))
+    assert [target.run(rows, ["id"], "updated", ident) for _ in range(2)] == [2, 0]
+    assert {(r["id"], r["part"]) for r in target.read().collect()} == {(1, "p"), (2, None)}
+
+
 def test_leftovers_block_none(spark, tmp_path):
     rows = spark.createDataFrame([(1, "u1")], "id long, updated string")
     (tmp_path / "target").mkdir()
