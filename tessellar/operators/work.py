@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.order_keys import order_between
 from tessellar.functions.text import default_order, parse_external_id
-from tessellar.operators.forest import dotted, tree_paths
-from tessellar.session import BROADCAST_ROWS, cut
+from tessellar.operators.forest import clean_links, dotted, resolve_forest, tree_paths
+from tessellar.session import cut
 
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -108,24 +108,39 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, top: int) -> D
     return kept.join(sized, match).drop(*[f"__{g}" for g in group])
 
 
-def subtree(tasks: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, distance, sort_key) of the roots given (column ``id``) and everything below them, deleted tasks included.
+def subtree(tasks: DataFrame, roots: DataFrame, keys: bool = False) -> DataFrame:
+    """(root, id, distance) of the roots given (column ``id``) and everything below them, deleted tasks included.
 
-    One round a level from the roots down: the tasks are joined to the nodes found last, which are
-    broadcast while they are few. ``sort_key`` is the padded ``child_seq`` of the steps below the
-    root (those without one behind all others), so its text order is depth-first sibling order.
-    Roots that are no task give nothing; on loops each node counts once, by its least distance.
+    The links above the roots are cut, and the forest that is left says of every task the nearest
+    root above it. Roots below roots make a forest of their own, climbed one nesting a round. With
+    ``keys`` also ``sort_key``: the padded ``child_seq`` of the steps below the root (those without
+    one behind all others), so its text order is depth-first sibling order. Roots that are no task
+    give nothing; on loops each node counts once, by its least distance.
     """
-    step = F.concat(F.lit("."), F.coalesce(default_order("child_seq"), F.lit("~")))
-    links = cut(tasks.where("id IS NOT NULL").groupBy("id", F.col("parent_id").alias("node")).agg(F.min("child_seq").alias("child_seq")).select("id", "node", step.alias("step")))
-    start = links.select("id").distinct().join(roots.select("id").distinct(), "id")
-    found = front = cut(start.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("distance"), F.lit("").alias("sort_key")))
-    while count := front.count():
-        above = front.select("root", F.col("id").alias("node"), "distance", "sort_key")
-        below = links.join(F.broadcast(above) if count <= BROADCAST_ROWS else above, "node").groupBy("root", "id").agg((F.min("distance") + 1).alias("distance"), F.min(F.concat("sort_key", "step")).alias("sort_key"))
-        front = cut(below.join(found.select("root", "id"), ["root", "id"], "left_anti"))
+    links = cut(clean_links(tasks, "id", "parent_id", "child_seq"))
+    given = roots.select(F.col("id").alias("root")).distinct()
+    wanted = cut(links.join(given, F.col("id") == F.col("root"), "left_semi"))
+    marks = wanted.select("id", F.lit(True).alias("wanted"))
+    rest = links.join(marks, "id", "left").select("id", F.when(F.col("wanted").isNull(), F.col("parent")).alias("parent"), "place")
+    if keys:
+        padded = F.transform(F.slice("places", F.lit(2), F.size("places")), lambda x: F.concat(F.lit("."), F.coalesce(F.lpad(x.cast("string"), 12, "0"), F.lit("~"))))
+        forest = tree_paths(rest, "id", "parent", place="place").select("id", "root", "depth", F.array_join(padded, "").alias("key"))
+    else:
+        forest = resolve_forest(rest, "id", "parent").select("id", "root", "depth", F.lit("").alias("key"))
+    nearest = cut(forest.join(wanted.select(F.col("id").alias("root")), "root", "left_semi"))
+    step = F.concat("key", F.lit("."), F.coalesce(F.lpad(F.col("place").cast("string"), 12, "0"), F.lit("~")))
+    up = wanted.where("parent IS NOT NULL").select(F.col("id").alias("low"), F.col("parent").alias("id"), "place").join(nearest, "id")
+    up = cut(up.select(F.col("low").alias("over"), F.col("root").alias("next"), (F.col("depth") + 1).alias("more"), step.alias("front")))
+    found = front = cut(wanted.select(F.col("id").alias("over"), F.col("id").alias("root"), F.lit(0).cast("long").alias("distance"), F.lit("").alias("key")))
+    while True:
+        higher = front.join(up, "over").select(F.col("next").alias("over"), "root", (F.col("distance") + F.col("more")).alias("distance"), F.concat("front", "key").alias("key"))
+        front = cut(higher.join(found.select("over", "root"), ["over", "root"], "left_anti"))
+        if not front.limit(1).count():
+            break
         found = found.unionByName(front)
-    return found
+    above = found.select("over", "root", F.col("distance").alias("__far"), F.col("key").alias("__key"))
+    out = nearest.join(above, "root").select(F.col("over").alias("root"), "id", (F.col("depth") + F.col("__far")).alias("distance"), F.concat("__key", "key").alias("sort_key"))
+    return out if keys else out.drop("sort_key")
 
 
 def descendants_in_order(tasks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -134,7 +149,7 @@ def descendants_in_order(tasks: DataFrame, roots: DataFrame) -> DataFrame:
     What lies below a deleted task is reached through it. Equal places go by id.
     """
     live = tasks.where("deleted_at IS NULL").select("id").distinct()
-    below = subtree(tasks, roots).where("distance > 0").join(live, "id", "left_semi")
+    below = subtree(tasks, roots, keys=True).where("distance > 0").join(live, "id", "left_semi")
     return below.select("root", "id", "distance", F.row_number().over(Window.partitionBy("root").orderBy("sort_key", "id")).cast("long").alias("place"))
 
 

@@ -71,6 +71,11 @@ def test_below_a_loop(spark):
     assert {(r["root"], r["id"], r["distance"]) for r in work.subtree(t, roots).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 2), (6, 6, 0)}
     assert [(r["id"], r["place"]) for r in work.descendants_in_order(t, roots).orderBy("place").collect()] == [(2, 1), (5, 2), (3, 3)]
     assert work.subtree(t, roots.limit(0)).count() == 0
+    # Roots below roots, and on one loop.
+    nested = t.where("id IN (1, 2, 4, 5)").select("id")
+    got = {(r["root"], r["id"], r["distance"]) for r in work.subtree(t, nested).collect()}
+    assert got == {(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 2), (2, 2, 0), (2, 1, 1), (2, 3, 2), (2, 4, 2), (2, 5, 3), (4, 4, 0), (4, 5, 1), (5, 5, 0)}
+    assert [(r["id"], r["place"]) for r in work.descendants_in_order(t, nested).where("root = 1").orderBy("place").collect()] == [(2, 1), (5, 2), (3, 3)]
 
 
 def test_labels_and_prefixes(spark):
