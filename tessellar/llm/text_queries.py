@@ -80,6 +80,14 @@ WITH d AS ({sql_words("doc_id", "documents")}), i AS ({sql_words("item_id", "eva
 grams AS (SELECT DISTINCT k AS item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) > 11)),
 places AS (SELECT k AS doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) > 11))
 SELECT DISTINCT doc_id, item_id FROM places JOIN grams USING (g)""",
+    "p8_removal_spans": f"""
+WITH d AS ({sql_words("doc_id", "documents")}), i AS ({sql_words("item_id", "eval_items")}),
+grams AS (SELECT DISTINCT array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) > 11)),
+places AS (SELECT k AS doc_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) > 11)),
+hits AS (SELECT DISTINCT doc_id, p FROM places JOIN grams USING (g)),
+fresh AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 12 THEN 0 ELSE 1 END AS f FROM hits),
+spans AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM fresh)
+SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS first_word, CAST(max(p) + 10 AS BIGINT) AS last_word FROM spans GROUP BY doc_id, n""",
     "p9_found": f"""
 WITH d AS (SELECT doc_id, text, {sql_form("text")} AS look FROM documents WHERE text <> '')
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id""",
