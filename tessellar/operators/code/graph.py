@@ -36,7 +36,7 @@ def resolve_imports(facts: DataFrame, files: DataFrame, content: str = "content"
     options = rows.where("language <> 'go'").select("n", F.posexplode("candidates").alias("rank", "c")).select("n", "rank", "c.rest", F.col("c.path").alias("file"))
     # What manifests declare comes after what the path itself names.
     outer = rows.where("language <> 'go' AND NOT startswith(raw, '.')")
-    for later, more in enumerate((manifests.package_candidates, manifests.alias_candidates, manifests.python_candidates), 1):
+    for later, more in enumerate((manifests.exported_candidates, manifests.package_candidates, manifests.alias_candidates, manifests.python_candidates), 1):
         options = options.unionByName(more(outer, files, content).withColumn("rank", F.col("rank") + 1_000 * later))
     options = options.select("n", "rank", "rest", F.lower("file").alias("low"))
     best = options.join(there, "low").groupBy("n").agg(F.min(F.struct("rank", "target", "rest")).alias("b")).select("n", "b.target", "b.rest")

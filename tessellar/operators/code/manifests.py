@@ -15,13 +15,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.functions.paths import ancestors, parent_dir
+from tessellar.functions.paths import ancestors, normalize, parent_dir
 
 
 def go_modules(files: DataFrame, content: str = "content") -> DataFrame:
-    """(module, dir) of every go.mod: a handful of rows."""
-    rows = files.where(F.col("path").rlike(r"(^|/)go\.mod$"))
-    return rows.select(F.regexp_extract(content, r"(?m)^\s*module\s+(\S+)", 1).alias("module"), parent_dir("path").alias("dir")).where("module <> ''")
+    """(module, dir) of every go.mod, and of every local directory that a go.mod or go.work puts in place of a module: a handful of rows."""
+    rows = files.where(F.col("path").rlike(r"(^|/)go\.(mod|work)$")).select("path", parent_dir("path").alias("dir"), F.col(content).alias("text"))
+    own = rows.where(F.col("path").endswith("go.mod")).select(F.regexp_extract("text", r"(?m)^\s*module\s+(\S+)", 1).alias("module"), "dir")
+    rule = r"(?m)^[ \t]*(?:replace[ \t]+)?([^\s=]+)(?:[ \t]+v\S+)?[ \t]*=>[ \t]*(\.\.?(?:/[^\s]*)?)[ \t]*$"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rule), F.lit(1)).alias("module"), F.regexp_extract_all("text", F.lit(rule), F.lit(2)).alias("to"))
+    put = rows.select("dir", F.explode(pairs).alias("r")).select(F.col("r.module").alias("module"), normalize(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "r.to")).alias("dir")).where("dir IS NOT NULL")
+    return own.unionByName(put).where("module <> ''").distinct()
+
+
+def read_exports(text: str | None) -> list[tuple[str, str, str]]:
+    """(name, part, file) of what a package.json exports: parts and files below the package, a star left off where both end or begin at one."""
+    try:
+        manifest = json.loads(text or "")
+        name, exports = manifest.get("name"), manifest.get("exports")
+    except (ValueError, AttributeError):
+        return []
+
+    def first(x: object) -> str | None:
+        if isinstance(x, str):
+            return x
+        if isinstance(x, dict):
+            # Conditions in the order in which sources are looked for, then any other.
+            order = [k for k in ("source", "types", "import", "module", "require", "default") if k in x] + list(x)
+            return next((f for k in order if (f := first(x[k]))), None)
+        return next((f for y in x if (f := first(y))), None) if isinstance(x, list) else None
+
+    if not name or not exports:
+        return []
+    parts = exports if isinstance(exports, dict) and any(k.startswith(".") for k in exports) else {".": exports}
+    return [(name, k.removeprefix(".").strip("/"), f.removeprefix("./")) for k, v in parts.items() if (f := first(v)) and f.startswith("./")]
+
+
+def exported_candidates(rows: DataFrame, files: DataFrame, content: str) -> DataFrame:
+    """(n, rank, rest, file) of imports that a package's export map names, by its whole part or the part before a star."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = [(name + ("/" + part.partition("*")[0].rstrip("/") if part.partition("*")[0] else ""), "*" in part, d, *f.partition("*")[::2]) for d, t in frame.itertuples(index=False) for name, part, f in read_exports(t)]
+            yield pd.DataFrame(out, columns=["front", "star", "dir", "before", "after"])
+
+    manifests = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(parent_dir("path").alias("dir"), content)
+    maps = manifests.mapInPandas(run, "front string, star boolean, dir string, before string, after string")
+    bare = rows.where("language NOT IN ('go', 'python', 'rust')").select("n", F.col("raw").alias("spec"))
+    hits = bare.select("n", "spec", F.explode(ancestors("spec", own=True)).alias("front")).where("front <> ''").join(maps, "front").where(F.col("star") == (F.col("spec") != F.col("front")))
+    inside = F.expr("substring(spec, length(front) + 2)")
+    file = F.when(F.col("star"), F.concat("before", inside, "after")).otherwise(F.col("before"))
+    return hits.select("n", F.when(F.col("star"), 1).otherwise(0).alias("rank"), F.lit(0).alias("rest"), F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), file).alias("file"))
 
 
 def packages(files: DataFrame, content: str = "content") -> DataFrame:

@@ -58,6 +58,9 @@ CASES = {
     "go: another name for the package": ([GOMOD, BUOY, ("dock/main.go", 'package main\n\nimport water "tides.example/harbour/sea"\n\nfunc main() {\n\t_ = []*water.Buoy{water.Moor(1)}\n}\n')], "sea/buoy.go", "Buoy", 1),
     "go: the package's names as one's own": ([GOMOD, BUOY, ("dock/main.go", 'package main\n\nimport . "tides.example/harbour/sea"\n\nfunc main() {\n\t_ = Moor(2)\n}\n')], "sea/buoy.go", "Moor", 1),
     "go: one of several imports, in a literal": ([GOMOD, BUOY, ("dock/main.go", 'package main\n\nimport (\n\t"fmt"\n\t"tides.example/harbour/sea"\n)\n\nfunc main() {\n\tfmt.Println(sea.Buoy{Depth: 3})\n}\n')], "sea/buoy.go", "Buoy", 1),
+    "go: a module that lies where the workspace puts it": ([("go.work", "go 1.22\n\nuse ./dock\n\nreplace (\n\tcharts.example/m{k}/tide v1.2.0 => ./vendored/tide\n)\n"), ("vendored/tide/table.go", "package tide\n\nfunc High() int {\n\treturn 7\n}\n"), ("dock/go.mod", "module dock.example/d{k}\n"), ("dock/main.go", 'package main\n\nimport "charts.example/m{k}/tide"\n\nfunc main() {\n\tprintln(tide.High() + tide.High())\n}\n')], "vendored/tide/table.go", "High", 2),
+    "ts: a part that the package exports": ([("dye/package.json", '{"name": "@loft{k}/dye", "exports": {".": "./lib/vat.ts", "./roots": {"types": "./lib/madder.ts"}, "./blue/*": "./lib/blues/*.ts"}}'), ("dye/lib/madder.ts", "export const red = 1;\n"), ("app/run.ts", "import { red } from '@loft{k}/dye/roots';\n\nexport const one = red;\n")], "dye/lib/madder.ts", "red", 1),
+    "ts: a part behind a star of the exports": ([("dye/package.json", '{"name": "@loft{k}/dye", "exports": {"./blue/*": "./lib/blues/*.ts"}}'), ("dye/lib/blues/woad.ts", "export function soak() {}\n"), ("app/run.ts", "import { soak } from '@loft{k}/dye/blue/woad';\n\nsoak();\nsoak();\n")], "dye/lib/blues/woad.ts", "soak", 2),
     "go: a file of the same package": ([GOMOD, BUOY, ("sea/chart.go", "package sea\n\nfunc plot(b *Buoy) []Buoy {\n\treturn []Buoy{*Moor(b.Depth)}\n}\n")], "sea/buoy.go", "Buoy", 3),
 }
 
