@@ -1,9 +1,11 @@
 """Functions paired with their documentation, by recursive patterns.
 
-One pattern per language family captures the comment and attribute lines above a declaration, its
-signature and its balanced body together; strings, templates, regular expressions and comments are
-matched as wholes, so brackets in them never count. What the comments (in Python also the docstring)
-say is then stripped of everything that states nothing, and only pairs that still say something stay.
+One recursive pattern per language family captures the comment and attribute lines above a declaration
+and its signature. The recursion over the body's brackets goes on a stack of its own, at every size:
+the library's takes kilobytes a level, and time that grows with the square of the brackets. Strings,
+templates, regular expressions and comments are matched as wholes, so brackets in them never count.
+What the comments (in Python also the docstring) say is then stripped of everything that states
+nothing, and only pairs that still say something stay.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ FAMILIES = {"rs": "rust", "go": "go", "js": "script", "jsx": "script", "mjs": "s
 STRING = r"""(?P<dq>"(?:[^"\\]|\\[\s\S])*+")"""
 LINE_STRING = r"""(?P<dq>"(?:[^"\\\n]|\\[\s\S])*+")|(?P<sq>'(?:[^'\\\n]|\\[\s\S])*+')"""
 C_COMMENT = r"(?P<lc>//[^\n]*+)|(?P<bc>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))"
+REGEX_START = r"""(?=/)(?<=[=(,:;!&|?\[{}>+\-*%~^]\s*+|\breturn\s++)/(?![/*])"""
+REGEX_LITERAL = REGEX_START + r"""(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"""
+# In JSX text brackets and quotes need not balance, so a body may hold what is left between tags near by.
+JSX_TEXT = r"""['"()\[\]](?=[^<>{};=\n]{0,120}(?:\{[^{}\n]{0,60}\}[^<>{};=\n]{0,60}){0,3}</?[A-Za-z])(?<=(?:\}|(?<!=)>)[^<>{};=\n]{0,120})"""
 
 DEFINITIONS = {
     "rust": r"""(?(DEFINE)
@@ -43,12 +49,11 @@ DEFINITIONS = {
         (?P<square>\[(?:[^()\[\]{}"'/`]++|(?&skip)|(?&round)|(?&square)|(?&body)|[/'"])*+\])
         (?P<body>\{(?:[^()\[\]{}"'/`]++|(?&skip)|(?&round)|(?&square)|(?&body)|[/'"])*+\})
     )""",
-    # In JSX text brackets and quotes need not balance, so a body may hold what is left between tags near by.
     "script": r"""(?(DEFINE)
         (?P<bc>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))
         (?P<tpl>`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$(?&body))*+`)
-        (?P<skip>//[^\n]*+|(?&bc)|(?&tpl)|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|(?<=[=(,:;!&|?\[{}>+\-*%~^]\s*+|\breturn\s++)/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+|(?&jsx))
-        (?P<jsx>['"()\[\]](?=[^<>{};=\n]{0,120}(?:\{[^{}\n]{0,60}\}[^<>{};=\n]{0,60}){0,3}</?[A-Za-z])(?<=(?:\}|(?<!=)>)[^<>{};=\n]{0,120}))
+        (?P<skip>//[^\n]*+|(?&bc)|(?&tpl)|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|""" + REGEX_LITERAL + r"""|(?&jsx))
+        (?P<jsx>""" + JSX_TEXT + r""")
         (?P<round>\((?:[^()\[\]{}"'/`]++|(?&jsx)|(?&skip)|(?&round)|(?&square)|(?&body)|[/'"])*+\))
         (?P<square>\[(?:[^()\[\]{}"'/`]++|(?&jsx)|(?&skip)|(?&round)|(?&square)|(?&body)|[/'"])*+\])
         (?P<body>\{(?:[^()\[\]{}"'/`]++|(?&jsx)|(?&skip)|(?&round)|(?&square)|(?&body)|[/'"])*+\})
@@ -61,17 +66,22 @@ DEFINITIONS = {
         (?P<body>\{(?:[^()\[\]{}"'\#]++|(?&skip)|(?&round)|(?&square)|(?&body))*+\})
     )""",
 }
+# Of a script's signature: what its type may hold besides objects in brackets, and the first character of the code. Behind a
+# round bracket an arrow is one of a type, and a value is read as if it went on with the type, up to what no type holds.
+TYPE = r"(?:[^;{}=>()]++|(?&square)|(?&round)|(?<=\)\s*+)=>|>)*+"
+CODE = r"[{;]|(?<==>\s*)(?P<value>[^\n])|$"
+VALUE = r"(?<==>[^;{}]*)(?P<value>[^\n])"
 MODIFIERS = r"(?:(?:export|default|declare|async|static|public|private|protected|readonly|abstract|override|get|set|function\b\s*\*?|function)\b\s*|\*\s*)*+"
 FUNCTIONS = {
     "rust": r"""(?P<doc>(?:[ \t]*+(?://[^\n]*+|(?&bc)|\#!?(?&square))\s*+)*+)
         (?P<signature>(?:pub(?:\s*(?&round))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s*"[^"]*")?)\s+)*+fn\s+(?:r\#)?(?P<name>\w++)(?:[^(){};"'/\[]++|(?&round)|(?&square)|'\w++|(?&skip))*+)
-        (?P<code>(?&body)|;|\{[\s\S]*+)""",
+        (?P<code>[{;(\[]|\Z)""",
     "go": r"""(?P<doc>(?:[ \t]*+(?://[^\n]*+|(?&bc))\s*+)*+)
-        (?P<signature>func\s*+(?&round)?\s*+(?P<name>\w++)(?&square)?\s*+(?&round)(?:[ \t]*+(?:(?&round)|(?&square)|interface\s*(?&body)|struct\s*(?&body)|[\w.*]++))*+)[ \t]*+
-        (?P<code>(?&body)|\{[\s\S]*+|)""",
+        (?P<signature>func\s*+(?&round)?\s*+(?P<name>\w++)(?&square)?\s*+(?&round)(?:[ \t]*+(?:(?&round)|(?&square)|interface\s*(?&body)|struct\s*(?&body)|(?&bc)|[\w.*<-]++))*+)[ \t]*+
+        (?P<code>[{(\[]|)""",
     "script": rf"""(?P<doc>(?:[ \t]*+(?://[^\n]*+|(?&bc)|@[\w.]++(?&round)?)\s*+)*+)
-        (?P<signature>{MODIFIERS}(?:(?:const|let|var)\s+)?(?P<name>\#?[\w$]++)\s*+(?:\??\s*:\s*[^=;{{}}]*?)?(?:=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*+)?)?\s*+(?:<[^()]*?>)?\s*+(?:(?&round)|[\w$]++\s*+(?==>))\s*+(?::\s*(?:[^;{{}}=>()]++|(?&square)|(?&round)|=>|>|(?&body)(?=\s*+(?:[\[{{|&]|=>)))*+)?(?:=>\s*)?)
-        (?P<code>(?&body)|;|(?<==>\s*)[^\n]++|\{{[\s\S]*+|$)""",
+        (?P<signature>{MODIFIERS}(?:(?:const|let|var)\s+)?(?P<name>\#?[\w$]++)\s*+(?:\??\s*:\s*[^=;{{}}]*?)?(?:=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*+)?)?\s*+(?:<[^()]*?>)?\s*+(?:(?&round)|[\w$]++\s*+(?==>))(?:\s++|//[^\n]*+|(?&bc))*+(?P<type>:\s*{TYPE})?(?:=>\s*)?)
+        (?P<code>{CODE}|(?(type)(?:[(\[]|{VALUE})|(?!)))""",
     "python": r"""(?P<doc>(?:[ \t]*+(?:\#[^\n]*+|@[\w.]++(?&round)?[^\n]*+)\s*+)*+)
         (?P<signature>[ \t]*+(?:async\s+)?def\s+(?P<name>\w++)\s*+(?&square)?\s*+(?&round)\s*+(?:->\s*+(?:[^:\[\](){}"'\#]++|(?&square)|(?&round)|(?&skip))*+)?:)
         (?P<code>(?:\s*+\#[^\n]*+)*+\s*+(?P<docstring>[rRuU]?(?:(?&triple)|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')(?=[ \t]*+(?:[;\#\n]|$)))?[\s\S]*+)""",
@@ -79,12 +89,104 @@ FUNCTIONS = {
 
 
 @lru_cache(maxsize=8)
-def pattern(family: str, whole: bool = True) -> regex.Pattern:
-    """The pattern of a family; not ``whole``: with all that follows the signature as the body, balanced or not."""
-    text = FUNCTIONS[family]
-    if not whole and family != "python":
-        text = text[: text.index("(?P<code>")] + r"(?P<code>[\s\S]*+)"
-    return regex.compile(text + DEFINITIONS[family], regex.VERBOSE | regex.MULTILINE)
+def pattern(family: str) -> regex.Pattern:
+    """The pattern of a family. But in Python ``code`` is only the first character of the code, where ``code_end`` goes on; it is
+    a round or square bracket if one of the signature does not close."""
+    return regex.compile(FUNCTIONS[family] + DEFINITIONS[family], regex.VERBOSE | regex.MULTILINE)
+
+
+#: Behind an object in brackets where a script's signature has its type: the type goes on, so that was not the body.
+TYPE_GOES_ON = regex.compile(rf"(?=\s*+(?:[\[{{|&>]|=>)){TYPE}(?:=>\s*)?(?P<code>{CODE}|[(\[]|{VALUE})" + DEFINITIONS["script"], regex.VERBOSE | regex.MULTILINE)
+
+# What lies between two brackets of a body, literals as wholes. One over several lines that does not close takes the rest; any
+# other is its first character. Templates and Rust's comments nest, so their marks are brackets too.
+BETWEEN = {
+    "rust": r"""[^()\[\]{}"'/#]++|//[^\n]*+|/(?!\*)|(?<=\b[bc]?r)(?P<hashes>#*+)"[\s\S]*?(?:"(?P=hashes)|\Z)|"(?:[^"\\]++|\\[\s\S])*+(?:"|\Z)|'(?:[^'\\\n]|\\[^\n]{1,10}?)'|'\w++|['#]""",
+    "go": r"""[^()\[\]{}"'/`]++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)|`[^`]*+(?:`|\Z)|"(?:[^"\\\n]++|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n]{1,10}?)'|[/'"]""",
+    "script": r"""[^()\[\]{}"'/`\n]++|""" + JSX_TEXT + r"""|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)|"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'|['"]""",
+}
+_BRACKETS = r"[()\[\]{}`"
+_REGEX = rf"{REGEX_LITERAL}|(?!{REGEX_START})/"
+#: To the next bracket; in scripts also to a regular expression that does not close on its line, behind which the line has no other.
+STEPS = {
+    "rust": regex.compile(rf"\G(?:{BETWEEN['rust']})*+(?P<mark>{_BRACKETS}]|/\*)"),
+    "go": regex.compile(rf"\G(?:{BETWEEN['go']})*+(?P<mark>{_BRACKETS}])"),
+    "script": regex.compile(rf"\G(?:{BETWEEN['script']}|{_REGEX}|\n++)*+(?P<mark>{_BRACKETS}/])"),
+}
+#: To the next bracket or line of a script, with and without regular expressions.
+LINE_STEP = regex.compile(rf"\G(?:{BETWEEN['script']}|{_REGEX})*+(?P<mark>{_BRACKETS}/\n])")
+PLAIN_STEP = regex.compile(rf"\G(?:{BETWEEN['script']}|/)*+(?P<mark>{_BRACKETS}\n])")
+#: To the next mark in a template or a comment that nests.
+INSIDE = {"`": regex.compile(r"\G(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(?P<mark>`|\$\{)"), "/*": regex.compile(r"\G(?:[^*/]++|\*(?!/)|/(?!\*))*+(?P<mark>/\*|\*/)")}
+CLOSING = {"(": ")", "[": "]", "{": "}", "${": "}", "`": "`", "/*": "*/"}
+#: The line after one of an arrow's value: its indentation, and whether it begins with what goes on with the value.
+NEXT_LINE = regex.compile(r"(?:[ \t]*+\n)*+(?P<indent>[ \t]*+)(?P<on>[.?:]|&&|\|\||</|/?>|=>)?(?=\S)")
+
+
+def body_end(text: str, start: int, family: str, indent: int | None = None) -> int:
+    """Where the bracket at ``start`` closes, or the end of the text if it, or one in it, does not.
+
+    With an ``indent``, where the value of an arrow that begins at ``start`` ends: with its line, brackets and literals as
+    wholes, or with the last of the lines after it that are further in than ``indent`` or begin with an operator; behind a
+    semicolon at a line's end it does not go on.
+    """
+    inside: list[str] = []
+    usual = STEPS[family]
+    at, plain_to = start, 0
+    while True:
+        if inside and inside[-1] in INSIDE:
+            step = INSIDE[inside[-1]]
+        elif at < plain_to:
+            step = PLAIN_STEP
+        else:
+            step = usual if inside or indent is None else LINE_STEP
+        for m in step.finditer(text, at):
+            mark = m["mark"]
+            if inside and mark == CLOSING[inside[-1]]:
+                inside.pop()
+                if not inside and indent is None:
+                    return m.end()
+            elif mark in CLOSING:
+                inside.append(mark)
+            elif mark == "/":
+                line = text.find("\n", m.end())
+                plain_to = line if line >= 0 else len(text)
+            elif mark == "\n":
+                if not inside and indent is not None:
+                    following = NEXT_LINE.match(text, m.end())
+                    if following is None or text[m.start() : m.end()].rstrip().endswith(";") or not (following["on"] or len(following["indent"]) > indent):
+                        return m.end() - 1
+                    at = following.end("indent")
+                    break
+            elif inside:
+                return len(text)
+            if step is not usual or not inside or inside[-1] in INSIDE or mark == "/":
+                at = m.end()
+                break
+        else:
+            return len(text)
+
+
+def code_end(m: regex.Match, text: str, family: str) -> int:
+    """Where the code of a match of the family's pattern ends; code that does not balance goes to the end of the text."""
+    if family == "python":
+        return m.end("code")
+    typed = m.start("type") if family == "script" and m["type"] is not None else None
+    line = text.rfind("\n", 0, m.start("signature")) + 1
+    indent = len(regex.match(r"[ \t]*+", text, pos=line)[0])
+    while m["code"] == "{":
+        start = m.start("code")
+        end = body_end(text, start, family)
+        if typed is None:
+            return end
+        if not (goes_on := TYPE_GOES_ON.match(text, end)):
+            # An object in the value of an arrow whose type was given.
+            before = text[typed:start].rstrip()
+            return body_end(text, start, family, indent) if "=>" in before and before[-1] in "?:&|" else end
+        m = goes_on
+    if family == "script" and m["value"]:
+        return body_end(text, m.start("code"), family, indent)
+    return len(text) if m["code"] in ("(", "[") else m.end("code")
 
 
 # Words that state nothing by themselves.
@@ -264,45 +366,24 @@ def documented_rows(rows: DataFrame, key: str = "sym_id") -> DataFrame:
     return wanted.mapInPandas(run, schema)
 
 
-#: Characters of a body up to which one pattern captures all of it. The library keeps every group of a recursion, so its time
-#: grows with the square of the brackets; behind the signature of a longer body the same brackets are counted.
-WHOLE = 16_384
-_REST = r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|[()\[\]{}]|"
-COUNTED = {
-    "rust": _REST + r"""b?r(\#*+)"[\s\S]*?(?:"\1|\Z)|b?"(?:[^"\\]|\\[\s\S])*+(?:"|\Z)|b?'(?:[^'\\\n]|\\[^\n]{1,10}?)'|'\w++""",
-    "go": _REST + r"""`[^`]*+(?:`|\Z)|"(?:[^"\\\n]|\\[^\n])*+"?|'(?:[^'\\\n]|\\[^\n]{1,10}?)'""",
-    "script": _REST + r"""`(?:[^`\\]|\\[\s\S])*+(?:`|\Z)|"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'""",
-}
-
-
-def body_end(text: str, start: int, family: str) -> int:
-    """Where the body that begins at ``start`` closes its first bracket, or the end of the text."""
-    depth = 0
-    for m in regex.compile(COUNTED[family]).finditer(text, start):
-        depth += (m[0] in ("(", "[", "{")) - (m[0] in (")", "]", "}"))
-        if m[0] == "}" and depth <= 0:
-            return m.end()
-    return len(text)
-
-
 def first_pair(body: str, family: str, name: str | None) -> tuple[str, str, str] | None:
     """The pair of the function that a body begins with, if it has the name given and is documented."""
-    start = len(body) - len(body.lstrip("\n"))
-    long = len(body) > WHOLE and family != "python"
-    m = pattern(family, not long).match(body, start)
+    m = pattern(family).match(body, len(body) - len(body.lstrip("\n")))
     if m is None or name and m["name"].lstrip("#") != name.lstrip("#").removeprefix("r#"):
         return None
-    return _pair(m, family, name, body[m.start("code") : body_end(body, m.start("code"), family)] if long else None)
+    return _pair(m, body[m.start("code") : code_end(m, body, family)], family, name)
 
 
 def pairs(text: str, family: str) -> Iterator[tuple[str, str, str]]:
     """(name, description, code) of every documented function in the text of a file; one that does not close takes the rest."""
-    for m in pattern(family).finditer(text):
-        if pair := _pair(m, family, None):
+    at = 0
+    while m := pattern(family).search(text, at):
+        at = code_end(m, text, family)
+        if pair := _pair(m, text[m.start("code") : at], family, None):
             yield pair
 
 
-def _pair(m: regex.Match, family: str, name: str | None, code: str | None = None) -> tuple[str, str, str] | None:
+def _pair(m: regex.Match, code: str, family: str, name: str | None) -> tuple[str, str, str] | None:
     lines = comment_lines(m["doc"], family) + (docstring_lines(m["docstring"]) if family == "python" else [])
     description = description_of(lines, name or m["name"])
-    return None if description is None else (name or m["name"], description, (m["signature"] + (m["code"] if code is None else code)).strip())
+    return None if description is None else (name or m["name"], description, (m["signature"] + code).strip())

@@ -88,6 +88,64 @@ def test_long_bodies_end_as_short_ones(family):
             assert not first_pair(body, family, "outer")[2].endswith("{")
 
 
+ENDS = [
+    ("rust", "fn outer() {", " /* a /* b */ } */", "}"),
+    ("rust", "fn outer() {", ' r###"a }"## } "###;', "}"),
+    ("rust", "fn outer() {", ' r#type(b"}", br"\\", \'}\');', "}"),
+    ("rust", "fn outer(a: [u8; { N }]);", "", ""),
+    ("go", "func outer(){", " a(`}`, '}', \"}\");", "}"),
+    ("go", "func outer() int", "", ""),
+    ("go", "func outer(a int) <-chan int{", " a(b);", "}"),
+    ("go", "func outer(a int) /* { */ int{", " a(b);", "}"),
+    ("script", "function outer() {", " a = /[/}]}/;", "}"),
+    ("script", "function outer() {", " `a ${ `}` } b`;", "}"),
+    ("script", "function outer() {", " `a ${ f(`x`, { b }) + '}' } b`;", "}"),
+    ("script", "outer(a: number): { b: string } | { c: string } {", " a(b[c]);", "}"),
+    ("script", "function outer(a);", "", ""),
+    ("script", "function outer(a) /* { */ {", " a(b);", "}"),
+    ("script", "outer(a): Promise<{ b: string }> {", " a(b);", "}"),
+    ("script", "const outer = (a) => a.b(c);", "", ""),
+    ("script", "const outer = (a) => ({", " b: {},\n", "});"),
+    ("script", "const outer = (a: number): boolean => a === [", "\n  b,", "\n];"),
+    ("script", "const outer = (a): ((b: T) => U) => a === [", "\n  b,", "\n];"),
+    ("script", "const outer = (a): (b: T) => { c: U } => {", " b({});\n", "}"),
+    ("script", "const outer: (a: T) => U = (a) => {", " b({});\n", "};"),
+    ("script", "const outer = (a) =>\n  a", "\n    .b({ c })", ";"),
+    ("script", "const View = () => <p>", "\n  <a>Don't (yet</a>", "\n</p>;"),
+]
+
+
+@pytest.mark.parametrize("times", [1, 2_000])
+@pytest.mark.parametrize(("family", "head", "inside", "close"), ENDS)
+def test_no_size_decides_where_a_body_ends(family, head, inside, close, times):
+    doc = "// Rotates the blades.\n"
+    code = head + inside * times + close
+    for rest in ("\n", "\nrest(a) { b }\n" * 2_000):
+        assert first_pair(doc + code + rest, family, None)[2] == code
+
+
+@pytest.mark.parametrize(("family", "head"), [("rust", "fn outer() {"), ("go", "func outer() {"), ("script", "function outer() {"), ("script", "const outer = (a: number): string => {")])
+def test_no_size_decides_what_does_not_balance(family, head):
+    for inside in (" if (a) ] { b }", " if (a { b }"):
+        for times in (1, 5_000):
+            body = "// Rotates the blades.\n" + head + inside * times + "\n}\n\nrest()"
+            assert first_pair(body, family, "outer")[2].endswith("rest()")
+
+
+@pytest.mark.parametrize("times", [1, 5_000])
+@pytest.mark.parametrize(("family", "head"), [("rust", "fn outer("), ("rust", "fn outer() -> (a, "), ("rust", "fn outer<"), ("go", "func outer()(a int, "), ("script", "outer(a): [")])
+def test_no_size_decides_what_is_cut_in_the_signature(family, head, times):
+    code = head + "b, " * times + "c"
+    assert first_pair("// Rotates the blades.\n" + code, family, "outer")[2] == code
+
+
+@pytest.mark.parametrize("piece", ["= /[ ", "= /[=/]x", "\n\n", "`${`", "f({}); "])
+def test_long_scripts_take_one_pass(piece):
+    for head in ("function outer() {", "function outer(a: number): string {"):
+        began = time.perf_counter()
+        assert first_pair("// Rotates the blades.\n" + head + piece * (300_000 // len(piece)), "script", "outer") and time.perf_counter() - began < 2
+
+
 def test_no_pair_of_an_inner_or_other_function():
     inner = "/// Rotates the turbine.\nfn inner(b: i64) { b }"
     assert first_pair("fn outer(a: i64) {\n    if a {\n" + inner, "rust", "outer") is None
