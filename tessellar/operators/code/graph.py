@@ -2,6 +2,7 @@
 
 Tables of facts go in, tables come out; what one file passes on of another is followed in rounds of
 joins until nothing moves (a chain of re-exports of length n takes n rounds), lineage cut each round.
+No join is left to the planner's estimates, by which it would broadcast tables that grow with the files.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.paths import ancestors, parent_dir, path_order
 from tessellar.operators.code import manifests
-from tessellar.session import cut
+from tessellar.session import cut, shuffled
 
 #: Rounds of re-exports after which the parts are written as one, so that long chains make no long plans.
 TOGETHER = 16
@@ -39,8 +40,8 @@ def resolve_imports(facts: DataFrame, files: DataFrame, content: str = "content"
     for later, more in enumerate((manifests.exported_candidates, manifests.package_candidates, manifests.alias_candidates, manifests.python_candidates), 1):
         options = options.unionByName(more(outer, files, content).withColumn("rank", F.col("rank") + 1_000 * later))
     options = options.select("n", "rank", "rest", F.lower("file").alias("low"))
-    best = options.join(there, "low").groupBy("n").agg(F.min(F.struct("rank", "target", "rest")).alias("b")).select("n", "b.target", "b.rest")
-    plain = rows.where("language <> 'go'").join(best, "n", "left")
+    best = options.join(shuffled(there), "low").groupBy("n").agg(F.min(F.struct("rank", "target", "rest")).alias("b")).select("n", "b.target", "b.rest")
+    plain = rows.where("language <> 'go'").join(shuffled(best), "n", "left")
     style = F.when((F.col("style") == "path") & (F.col("rest") == 0), "namespace").when(F.col("style") == "path", "name").otherwise(F.col("style"))
     plain = plain.withColumn("style", style).select("path", "local", "definition", "style", "passed_on", "line", "raw", "target")
     # Go: the module whose name starts the import path, the rest is a directory.
@@ -48,12 +49,12 @@ def resolve_imports(facts: DataFrame, files: DataFrame, content: str = "content"
     modules = manifests.go_modules(files, content)
     # The module is a front of the import path: its fronts are joined by equality, the longest counts.
     fronts = spec.select("raw").distinct().select("raw", F.explode(ancestors("raw", own=True)).alias("module")).where("module <> ''")
-    owner = fronts.join(modules, "module").groupBy("raw").agg(F.max(F.struct(F.length("module").alias("n"), "module", "dir")).alias("m")).select("raw", "m.module", "m.dir")
-    inside = spec.join(owner, "raw")
+    owner = fronts.join(shuffled(modules), "module").groupBy("raw").agg(F.max(F.struct(F.length("module").alias("n"), "module", "dir")).alias("m")).select("raw", "m.module", "m.dir")
+    inside = spec.join(shuffled(owner), "raw")
     tail = F.expr("substring(raw, length(module) + 2)")
     where = F.when(tail == "", F.col("dir")).when(F.col("dir") == "", tail).otherwise(F.concat("dir", F.lit("/"), tail))
     go_files = files.where(F.lower("path").endswith(".go")).select(F.col("path").alias("target"), parent_dir("path").alias("package"))
-    located = inside.withColumn("package", where).join(go_files, "package").select("path", "local", "definition", "style", "passed_on", "line", "raw", "target")
+    located = inside.withColumn("package", where).join(shuffled(go_files), "package").select("path", "local", "definition", "style", "passed_on", "line", "raw", "target")
     return plain.unionByName(located)
 
 
@@ -76,8 +77,8 @@ def follow(pairs: DataFrame, names: DataFrame, exports: DataFrame, limits: DataF
     ``pairs``: distinct (target, definition); ``names``: (path, name) of symbols. Where a file
     neither defines nor passes on a name, it is looked for in all that the file passes on whole.
     """
-    defined = cut(names.select(F.col("path").alias("file"), "name").distinct())
-    exact = cut(exports.where("exported IS NOT NULL").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.col("target").alias("to"), F.col("definition").alias("as")).distinct())
+    defined = shuffled(cut(names.select(F.col("path").alias("file"), "name").distinct()))
+    exact = shuffled(cut(exports.where("exported IS NOT NULL").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.col("target").alias("to"), F.col("definition").alias("as")).distinct()))
     whole = cut(exports.where("exported IS NULL").select(F.col("path").alias("file"), F.col("target").alias("to")).distinct())
     state = cut(pairs.select("target", "definition", F.col("target").alias("file"), F.col("definition").alias("name")).distinct())
     seen = state
@@ -87,9 +88,9 @@ def follow(pairs: DataFrame, names: DataFrame, exports: DataFrame, limits: DataF
         done = found if done is None else done.unionByName(found)
         open_ = state.join(defined, ["file", "name"], "left_anti")
         one = open_.join(exact, ["file", "name"])
-        all_ = open_.join(exact.select("file", "name"), ["file", "name"], "left_anti").join(whole, "file").select("target", "definition", "to", F.col("name").alias("as"))
+        all_ = open_.join(exact.select("file", "name"), ["file", "name"], "left_anti").join(shuffled(whole), "file").select("target", "definition", "to", F.col("name").alias("as"))
         nxt = one.select("target", "definition", "to", "as").unionByName(all_).select("target", "definition", F.col("to").alias("file"), F.col("as").alias("name")).distinct()
-        state = cut(nxt.join(seen, ["target", "definition", "file", "name"], "left_anti"))
+        state = cut(nxt.join(shuffled(seen), ["target", "definition", "file", "name"], "left_anti"))
         if not state.limit(1).count():
             break
         seen = seen.unionByName(state)
@@ -104,10 +105,10 @@ def visible_names(targets: DataFrame, names: DataFrame, exports: DataFrame) -> D
     front = cut(targets.select("target", F.col("target").alias("file")))
     reach = front
     while front.limit(1).count():
-        front = cut(front.join(whole, "file").select("target", F.col("to").alias("file")).distinct().join(reach, ["target", "file"], "left_anti"))
+        front = cut(front.join(shuffled(whole), "file").select("target", F.col("to").alias("file")).distinct().join(shuffled(reach), ["target", "file"], "left_anti"))
         reach = reach.unionByName(front)
     own = names.select(F.col("path").alias("file"), "name").unionByName(exports.where("exported IS NOT NULL").select(F.col("path").alias("file"), F.col("exported").alias("name")))
-    return reach.join(own.distinct(), "file").select("target", "name").distinct()
+    return reach.join(shuffled(own.distinct()), "file").select("target", "name").distinct()
 
 
 def references(files: DataFrame, facts: DataFrame, target: str | None = None) -> DataFrame:
@@ -123,27 +124,27 @@ def references(files: DataFrame, facts: DataFrame, target: str | None = None) ->
     exports = cut(passed_on(imports, facts))
     if target is not None:
         seeing = importer_closure(imports, exports, target).unionByName(facts.where("language = 'go'").where(parent_dir("path") == parent_dir(F.lit(target))).select("path")).distinct()
-        facts = cut(facts.join(seeing, "path", "left_semi"))
-        imports, exports = (cut(t.join(seeing, "path", "left_semi")) for t in (imports, exports))
+        facts = cut(facts.join(shuffled(seeing), "path", "left_semi"))
+        imports, exports = (cut(t.join(shuffled(seeing), "path", "left_semi")) for t in (imports, exports))
     every = symbols(facts)
     top = every.where("parent IS NULL").select("path", "name", "line")
     uses = facts.select("path", "language", "all_names", F.explode("uses").alias("u")).select("path", "language", "u.*")
     bound = imports.where("target IS NOT NULL AND local IS NOT NULL").select("path", F.col("local").alias("name"), "style", "target", F.coalesce("definition", "local").alias("definition")).distinct()
-    named = uses.join(bound.where("style = 'name'"), ["path", "name"]).select("path", "line", "col", "target", "definition")
-    members = uses.where("member IS NOT NULL").join(bound.where("style = 'namespace'"), ["path", "name"]).select("path", "line", "col", "target", F.col("member").alias("definition"))
+    named = uses.join(shuffled(bound.where("style = 'name'")), ["path", "name"]).select("path", "line", "col", "target", "definition")
+    members = uses.where("member IS NOT NULL").join(shuffled(bound.where("style = 'namespace'")), ["path", "name"]).select("path", "line", "col", "target", F.col("member").alias("definition"))
     globs = imports.where("style = 'glob' AND target IS NOT NULL").select("path", "target").distinct()
-    bare = uses.join(bound.select("path", "name"), ["path", "name"], "left_anti").join(top.select("path", "name"), ["path", "name"], "left_anti")
+    bare = uses.join(shuffled(bound.select("path", "name")), ["path", "name"], "left_anti").join(shuffled(top.select("path", "name")), ["path", "name"], "left_anti")
     listed = facts.where("all_names IS NOT NULL").select(F.col("path").alias("target"), "all_names")
     # A bare name is looked up only where a module imported whole has it: by file and name, not each use in each module.
-    visible = visible_names(globs.select("target").distinct(), top, exports).join(listed, "target", "left").where("all_names IS NULL OR array_contains(all_names, name)").select("target", "name")
-    through = bare.join(globs.join(visible, "target"), ["path", "name"]).select("path", "line", "col", "target", F.col("name").alias("definition"))
-    package = every.where("parent IS NULL").select("path", "name").join(facts.where("language = 'go'").select("path"), "path", "left_semi").select(parent_dir("path").alias("dir"), F.col("path").alias("target"), "name")
-    siblings = bare.where("language = 'go'").withColumn("dir", parent_dir("path")).join(package, ["dir", "name"]).where("path <> target").select("path", "line", "col", "target", F.col("name").alias("definition"))
+    visible = visible_names(globs.select("target").distinct(), top, exports).join(shuffled(listed), "target", "left").where("all_names IS NULL OR array_contains(all_names, name)").select("target", "name")
+    through = bare.join(shuffled(globs.join(shuffled(visible), "target")), ["path", "name"]).select("path", "line", "col", "target", F.col("name").alias("definition"))
+    package = every.where("parent IS NULL").select("path", "name").join(shuffled(facts.where("language = 'go'").select("path")), "path", "left_semi").select(parent_dir("path").alias("dir"), F.col("path").alias("target"), "name")
+    siblings = bare.where("language = 'go'").withColumn("dir", parent_dir("path")).join(shuffled(package), ["dir", "name"]).where("path <> target").select("path", "line", "col", "target", F.col("name").alias("definition"))
     asked = cut(named.unionByName(members).unionByName(through).unionByName(siblings).distinct())
     passing = exports.where("exported IS NOT NULL AND line IS NOT NULL").select("path", "line", F.lit(1).alias("col"), "target", "definition")
     wanted = asked.unionByName(passing)
     places = follow(wanted.select("target", "definition").distinct(), top, exports)
-    found = wanted.join(places, ["target", "definition"]).select(F.col("file").alias("target_file"), F.col("name").alias("symbol"), F.col("path").alias("source_file"), "line", "col", F.lit(False).alias("is_definition"))
+    found = wanted.join(shuffled(places), ["target", "definition"]).select(F.col("file").alias("target_file"), F.col("name").alias("symbol"), F.col("path").alias("source_file"), "line", "col", F.lit(False).alias("is_definition"))
     own = top.select(F.col("path").alias("target_file"), F.col("name").alias("symbol"), F.col("path").alias("source_file"), "line", F.lit(1).alias("col"), F.lit(True).alias("is_definition"))
     every_one = own.unionByName(found.where(F.col("target_file") != F.col("source_file"))).distinct()
     return every_one if target is None else every_one.where(F.col("target_file") == target)
@@ -160,9 +161,9 @@ def importer_closure(imports: DataFrame, exports: DataFrame, target: str) -> Dat
     front = imports.sparkSession.createDataFrame([(target,)], "path string")
     passing = front
     while front.limit(1).count():
-        front = cut(links.join(front, "path").select(F.col("by").alias("path")).distinct().join(passing, "path", "left_anti"))
+        front = cut(links.join(shuffled(front), "path").select(F.col("by").alias("path")).distinct().join(shuffled(passing), "path", "left_anti"))
         passing = passing.unionByName(front)
-    importers = deps(imports).join(passing.select(F.col("path").alias("target")), "target", "left_semi").select("path")
+    importers = deps(imports).join(shuffled(passing.select(F.col("path").alias("target"))), "target", "left_semi").select("path")
     return passing.unionByName(importers).distinct()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions.paths import ancestors, normalize, parent_dir
+from tessellar.session import shuffled
 
 
 def go_modules(files: DataFrame, content: str = "content") -> DataFrame:
@@ -62,7 +63,7 @@ def exported_candidates(rows: DataFrame, files: DataFrame, content: str) -> Data
     manifests = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(parent_dir("path").alias("dir"), content)
     maps = manifests.mapInPandas(run, "front string, star boolean, dir string, before string, after string")
     bare = rows.where("language NOT IN ('go', 'python', 'rust')").select("n", F.col("raw").alias("spec"))
-    hits = bare.select("n", "spec", F.explode(ancestors("spec", own=True)).alias("front")).where("front <> ''").join(maps, "front").where(F.col("star") == (F.col("spec") != F.col("front")))
+    hits = bare.select("n", "spec", F.explode(ancestors("spec", own=True)).alias("front")).where("front <> ''").join(shuffled(maps), "front").where(F.col("star") == (F.col("spec") != F.col("front")))
     inside = F.expr("substring(spec, length(front) + 2)")
     file = F.when(F.col("star"), F.concat("before", inside, "after")).otherwise(F.col("before"))
     return hits.select("n", F.when(F.col("star"), 1).otherwise(0).alias("rank"), F.lit(0).alias("rest"), F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), file).alias("file"))
@@ -82,7 +83,7 @@ def packages(files: DataFrame, content: str = "content") -> DataFrame:
 def package_candidates(rows: DataFrame, files: DataFrame, content: str) -> DataFrame:
     """(n, rank, rest, file) of imports by package name: the longest package name in front, then the file its rest names."""
     bare = rows.where("language <> 'go' AND language <> 'python'").select("n", F.when(F.col("language") == "rust", "rust").otherwise("script").alias("family"), F.regexp_replace("raw", "::", "/").alias("spec"))
-    fronts = bare.select("n", "family", "spec", F.explode(ancestors("spec", own=True)).alias("name")).where("name <> ''").join(packages(files, content), ["family", "name"])
+    fronts = bare.select("n", "family", "spec", F.explode(ancestors("spec", own=True)).alias("name")).where("name <> ''").join(shuffled(packages(files, content)), ["family", "name"])
     best = fronts.groupBy("n", "family", "spec").agg(F.max(F.struct(F.length("name").alias("k"), "name", "dir", "entry")).alias("m")).select("n", "family", "spec", "m.*")
     inner = F.filter(F.split(F.expr("substring(spec, length(name) + 2)"), "/"), lambda x: (x != "") & (x != "*"))
     best = best.withColumn("inner", inner).withColumn("front", F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))))
@@ -159,7 +160,7 @@ def alias_candidates(rows: DataFrame, files: DataFrame, content: str) -> DataFra
     """(n, rank, rest, file) of script imports by path aliases of a configuration above their file, the nearest first."""
     known = _parsed(files.where(F.col("path").rlike(r"(^|/)(ts|js)config(\.[\w-]+)?\.json$")), content, "alias")
     spec = rows.where("language IN ('javascript', 'typescript', 'tsx')").select("n", "path", "raw")
-    fronts = spec.select("n", "path", "raw", F.explode(ancestors("raw", own=True)).alias("name")).where("name <> ''").join(known, "name")
+    fronts = spec.select("n", "path", "raw", F.explode(ancestors("raw", own=True)).alias("name")).where("name <> ''").join(shuffled(known), "name")
     near = fronts.where(F.expr("dir = '' OR startswith(path, concat(dir, '/'))"))
     tail = F.expr("substring(raw, length(name) + 1)")
     base = F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), "target", tail)
@@ -171,11 +172,11 @@ def python_candidates(rows: DataFrame, files: DataFrame, content: str) -> DataFr
     """(n, rank, rest, file) of Python imports from the package roots that projects declare; joined on the first part of the module."""
     projects = files.where(F.col("path").rlike(r"(^|/)(pyproject\.toml|setup\.py)$"))
     roots = _parsed(projects, content, "roots").select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.when(F.col("target") != "", F.col("target"))).alias("root")).distinct()
-    above = files.where(F.lower("path").endswith(".py")).select("path", F.explode(ancestors("path")).alias("root")).join(roots, "root")
+    above = files.where(F.lower("path").endswith(".py")).select("path", F.explode(ancestors("path")).alias("root")).join(shuffled(roots), "root")
     inner = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
     tops = above.select("root", F.regexp_replace(F.substring_index(inner, "/", 1), r"\.py$", "").alias("top")).distinct()
     module = F.regexp_replace("raw", r"\.\*$", "")
-    asked = rows.where("language = 'python'").select("n", "style", "definition", F.translate(module, ".", "/").alias("at")).withColumn("top", F.substring_index("at", "/", 1)).join(tops, "top")
+    asked = rows.where("language = 'python'").select("n", "style", "definition", F.translate(module, ".", "/").alias("at")).withColumn("top", F.substring_index("at", "/", 1)).join(shuffled(tops), "top")
     front = F.concat(F.when(F.col("root") == "", "").otherwise(F.concat("root", F.lit("/"))), "at")
     item = lambda path, rest: F.struct(path.alias("file"), F.lit(rest).alias("rest"))
     whole = lambda rest: [item(F.concat(front, F.lit(".py")), rest), item(F.concat(front, F.lit("/__init__.py")), rest)]

@@ -65,6 +65,11 @@ def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and sorted whatever its estimate, which counts compressed files and one element an array."""
+    return df.hint("merge")
+
+
 def task_slots(spark: SparkSession) -> int:
     """Shuffle partitions set for the session; the width used when a plan has to choose a partition count itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators.code import facts, graph
+from tessellar.session import cut
 
 # Each case: files of a small program, the file and name of a symbol, and how often other files use it.
 # A use is a name in a place where a value or type is read, and a line that passes the name on.
@@ -133,3 +135,42 @@ def test_long_chains_of_passed_on_names_are_followed_to_the_end(spark):
     names = spark.createDataFrame([(f"f{n}", "x")], "path string, name string")
     asked = spark.createDataFrame([("f0", "x"), ("loop", "y")], "target string, definition string")
     assert [tuple(r) for r in graph.follow(asked, names, exports).select("target", "definition", "file", "name").collect()] == [("f0", "x", f"f{n}", "x")]
+
+
+def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, tmp_path):
+    """Estimates count compressed files and one element an array, so tables far beyond the driver's memory look small."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(graph, "cut", lambda df: cut(seen(df)))
+    programs = ["rust: passed on twice under a new name", "ts: a package of the workspace by its name", "go: a file of the same package", "py: everything of a module"]
+    # Read from a file, as only then there is an estimate.
+    spark.createDataFrame([(f"p{k}/{p}", c) for k, case in enumerate(programs) for p, c in CASES[case][0]], "path string, content string").write.parquet(str(tmp_path / "files"))
+    table = spark.read.parquet(str(tmp_path / "files"))
+    for target in (None, "p2/sea/buoy.go"):
+        rows = seen(graph.references(table, facts.extract(table), target))
+        assert rows.where("NOT is_definition").count() > 0
+    assert sum("Join" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_facts_of_many_files_are_put_together_in_small_frames():
+    files = [(f"f{i}.py", f"import os\nx{i} = os.sep\n" * 20) for i in range(200)] + [("a.md", "# x"), (None, "x"), ("empty.py", None)]
+    frames = list(facts.fact_frames([pd.DataFrame(files, columns=["path", "content"])], characters=2_000))
+    assert [p for f in frames for p in f["path"]] == [p for p, _ in files if p and p.endswith(".py")]
+    assert max(len(f) for f in frames) <= 5 and list(facts.fact_frames([pd.DataFrame(files[200:202], columns=["path", "content"])])) == []
+
+
+def test_only_uses_that_may_lead_outside_are_kept():
+    def kept(path, text):
+        f = facts.facts_of(path, text, language := facts.language_of(path))
+        return {u[0] for u in f.uses}, {u[0] for u in facts.outward(f, language)}
+
+    every, outside = kept("a.py", "from b import c\n\ndef own():\n    pass\n\nown(c, other)\n")
+    assert {"own", "c", "other"} <= every and outside == {"c"}
+    assert kept("a.py", "from b import *\n\ndef own():\n    pass\n\nown(c)\n")[1] == {"c"}
+    assert kept("a.go", 'package a\n\nimport "fmt"\n\nfunc own() {\n\tfmt.Println(other)\n\town()\n}\n')[1] == {"fmt", "other"}
+    # A name of the file's own that an import binds too.
+    assert kept("a.py", "from b import c\n\ndef c():\n    pass\n\nc()\n")[1] == {"c"}
